@@ -4,8 +4,9 @@ Texts with the same shingle set are one node from the start. A node's sketch has
 T coordinates; bands of ROWS coordinates put nodes that may be similar into one
 bucket. In each round every bucket compares its members with one pivot, and only
 where they aren't yet in one component; later rounds take other pivots. Buckets
-that still hold several components then compare all pairs across components that
-the sketches don't rule out. So no bucket lists the pairs of what is already
+that still hold several components then compare the pairs across components that
+neither the sketches nor an exact bound (shingles that a document shares with no
+other) rule out. So no bucket lists the pairs of what is already
 linked, and no link between candidates is lost.
 """
 
@@ -107,6 +108,20 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, set binary")
 
 
+def _own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, own: shingles that no other document among ``ids`` has; the rest bounds any intersection exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(x, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v)], names=["id", "shingle"])
+
+    rows = sets.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return once.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets reach the similarity."""
 
@@ -186,8 +201,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = other.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b"), "id", F.col("p.id").alias("pivot")).distinct()
         else:
             left = now.join(per.select("key"), "key")
-            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp")])
-            far = left.join(right, "key").filter((F.col("comp") < F.col("comp_")) & _alike(F.col("n"), F.col("n_"), F.col("s1"), F.col("s1_"), F.col("s2"), F.col("s2_"), percent))
+            left = left.join(_own_shingles(sets, left), "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+            left = cut(left.filter(F.col("most") * 100 >= F.col("n") * percent).drop("own"))
+            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp", "most")])
+            most = F.least("most", "most_")
+            able = (F.col("comp") < F.col("comp_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent)
+            far = left.join(right, "key").filter(able & _alike(F.col("n"), F.col("n_"), F.col("s1"), F.col("s1_"), F.col("s2"), F.col("s2_"), percent))
             pairs = far.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
