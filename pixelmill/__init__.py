@@ -1,0 +1 @@
+"""pixelmill: image colour analytics on Spark, pixels as relations."""
