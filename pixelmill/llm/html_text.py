@@ -139,7 +139,9 @@ LABELLED = (
     ((9, 0.0, 4, 1.0, 6, 0.0, 0, 1, 0, 0), 0), ((40, 0.0, 3, 1.0, 9, 0.0, 0, 1, 0, 0), 0), ((25, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0), 0), ((5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), 0),
     ((60, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1, 0), 0), ((8, 0.0, 70, 0.0, 40, 0.0, 1, 1, 1, 0), 0), ((14, 0.1, 110, 0.0, 3, 1.0, 0, 1, 0, 0), 0), ((3, 0.0, 20, 0.0, 25, 0.0, 1, 1, 0, 0), 0),
     ((7, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), 0), ((6, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0), 0), ((9, 0.2, 50, 0.0, 4, 1.0, 0, 0, 0, 0), 0),
-    # the article
+    # the article, also where it is one block, ends the page, or holds short and linked paragraphs
+    ((4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0), 1), ((60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0), 1), ((3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 0), 1), ((7, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0), 1),
+    ((45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1), ((5, 0.0, 3, 0.0, 4, 0.2, 0, 0, 1, 0), 1), ((2, 0.5, 30, 0.0, 60, 0.0, 0, 0, 1, 0), 1), ((6, 1.0, 40, 0.0, 30, 0.0, 0, 0, 1, 0), 1),
     ((8, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 0), 1), ((2, 0.0, 5, 1.0, 30, 0.0, 1, 0, 1, 0), 1), ((10, 0.0, 4, 1.0, 50, 0.0, 1, 0, 0, 0), 1), ((1, 0.0, 40, 0.0, 80, 0.0, 0, 0, 1, 0), 1),
     ((2, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 0), 1), ((30, 0.0, 8, 0.0, 45, 0.0, 0, 0, 1, 0), 1), ((90, 0.05, 70, 0.0, 60, 0.1, 0, 0, 1, 0), 1), ((55, 0.0, 50, 0.0, 5, 0.0, 0, 0, 1, 0), 1),
     ((120, 0.1, 10, 0.0, 80, 0.0, 0, 0, 0, 0), 1), ((35, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0), 1), ((22, 0.05, 45, 0.0, 8, 0.0, 0, 0, 0, 0), 1), ((9, 0.0, 25, 0.0, 7, 0.0, 0, 0, 1, 1), 1),
