@@ -3,7 +3,7 @@
 A page becomes a flat run of blocks (text between block-level tags). A block's
 features are its words and link density, those of the blocks before and after
 it, and which kinds of regions it lies in (menus, asides, forms, headings). The
-tree is grown from LABELLED, a small table of such blocks.
+tree is grown from a small table of labelled blocks, listed by kind.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -129,27 +130,31 @@ def blocks(html: str) -> list[Block]:
     return p.blocks
 
 
-#: words, link density, words before, density before, words after, density after, heading, region, article, list item -> main text?
-LABELLED = (
-    # menus and link lists
-    ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1), 0), ((2, 1.0, 0, 0.0, 3, 1.0, 0, 1, 0, 1), 0), ((4, 1.0, 2, 1.0, 120, 0.0, 0, 1, 0, 1), 0), ((3, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0, 1), 0),
-    ((2, 1.0, 4, 1.0, 2, 1.0, 0, 0, 0, 0), 0), ((12, 0.9, 3, 1.0, 9, 1.0, 0, 0, 0, 0), 0), ((6, 0.8, 40, 0.0, 5, 1.0, 0, 0, 0, 0), 0), ((8, 1.0, 60, 0.0, 7, 1.0, 0, 0, 1, 1), 0),
-    ((5, 1.0, 6, 1.0, 80, 0.0, 0, 0, 1, 0), 1), ((7, 1.0, 70, 0.0, 65, 0.0, 0, 0, 1, 1), 0), ((6, 1.0, 7, 1.0, 6, 1.0, 0, 0, 1, 1), 0),
-    # headers, footers, notices, adverts, forms, comments
-    ((9, 0.0, 4, 1.0, 6, 0.0, 0, 1, 0, 0), 0), ((40, 0.0, 3, 1.0, 9, 0.0, 0, 1, 0, 0), 0), ((25, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0), 0), ((5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0), 0),
-    ((60, 0.0, 50, 0.0, 70, 0.0, 0, 1, 1, 0), 0), ((8, 0.0, 70, 0.0, 40, 0.0, 1, 1, 1, 0), 0), ((14, 0.1, 110, 0.0, 3, 1.0, 0, 1, 0, 0), 0), ((3, 0.0, 20, 0.0, 25, 0.0, 1, 1, 0, 0), 0),
-    ((7, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), 0), ((6, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0), 0), ((9, 0.2, 50, 0.0, 4, 1.0, 0, 0, 0, 0), 0),
-    # the article, also where it is one block, ends the page, or holds short and linked paragraphs
-    ((4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0), 1), ((60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0), 1), ((3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 0), 1), ((7, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0), 1),
-    ((45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1), ((5, 0.0, 3, 0.0, 4, 0.2, 0, 0, 1, 0), 1), ((2, 0.5, 30, 0.0, 60, 0.0, 0, 0, 1, 0), 1), ((6, 1.0, 40, 0.0, 30, 0.0, 0, 0, 1, 0), 1),
-    ((8, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 0), 1), ((2, 0.0, 5, 1.0, 30, 0.0, 1, 0, 1, 0), 1), ((10, 0.0, 4, 1.0, 50, 0.0, 1, 0, 0, 0), 1), ((1, 0.0, 40, 0.0, 80, 0.0, 0, 0, 1, 0), 1),
-    ((2, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 0), 1), ((30, 0.0, 8, 0.0, 45, 0.0, 0, 0, 1, 0), 1), ((90, 0.05, 70, 0.0, 60, 0.1, 0, 0, 1, 0), 1), ((55, 0.0, 50, 0.0, 5, 0.0, 0, 0, 1, 0), 1),
-    ((120, 0.1, 10, 0.0, 80, 0.0, 0, 0, 0, 0), 1), ((35, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0), 1), ((22, 0.05, 45, 0.0, 8, 0.0, 0, 0, 0, 0), 1), ((9, 0.0, 25, 0.0, 7, 0.0, 0, 0, 1, 1), 1),
-    ((18, 0.1, 16, 0.0, 20, 0.1, 0, 0, 0, 1), 1), ((6, 0.2, 30, 0.0, 40, 0.0, 0, 0, 1, 0), 1), ((12, 0.3, 60, 0.0, 50, 0.0, 0, 0, 1, 0), 1), ((300, 0.0, 4, 1.0, 9, 0.2, 0, 0, 0, 0), 1),
+#: Labelled blocks by kind: words, link density, words before, density before, words after, density after, heading, region, article, list item -> main text?
+KINDS = (
+    # in the article: paragraphs, headings, items, links that stand alone
+    (((1, 6, 30, 120, 400), (0.0, 0.2, 0.4), (0, 3, 40, 200), (0.0, 1.0), (0, 5, 60, 200), (0.0, 1.0), (0,), (0,), (1,), (0,)), 1),
+    (((1, 6, 14), (0.0, 1.0), (0, 3, 40), (0.0, 1.0), (0, 5, 60), (0.0,), (1,), (0,), (1,), (0,)), 1),
+    (((1, 4, 15, 50), (0.0, 0.2, 0.4), (0, 4, 60), (0.0,), (0, 4, 60), (0.0,), (0,), (0,), (1,), (1,)), 1),
+    (((1, 3, 9), (1.0,), (0, 5, 60), (0.0,), (0, 5, 60), (0.0,), (0,), (0,), (1,), (0,)), 1),
+    # link lists, in the article and elsewhere
+    (((1, 3, 9), (0.8, 1.0), (2, 6, 60), (0.0, 1.0), (2, 6, 60), (0.0, 1.0), (0,), (0,), (0, 1), (1,)), 0),
+    (((1, 3, 9, 20), (0.7, 1.0), (0, 6, 60), (0.0, 1.0), (0, 6, 60), (0.0, 1.0), (0,), (0,), (0,), (0,)), 0),
+    # menus, headers, footers, asides, notices, adverts, forms, comments
+    (((1, 6, 30, 120), (0.0, 0.5, 1.0), (0, 5, 60), (0.0, 1.0), (0, 5, 60), (0.0, 1.0), (0, 1), (1,), (0, 1), (0, 1)), 0),
+    # pages without an article: long blocks and what stands between them is text, short blocks elsewhere are not
+    (((15, 40, 150, 400), (0.0, 0.2), (0, 5, 60), (0.0, 1.0), (0, 5, 60), (0.0, 1.0), (0,), (0,), (0,), (0, 1)), 1),
+    (((2, 6), (0.0,), (20, 60), (0.0,), (20, 60), (0.0,), (0,), (0,), (0,), (0, 1)), 1),
+    (((2, 6, 12), (0.0,), (0, 5, 60), (0.0, 1.0), (20, 60), (0.0,), (1,), (0,), (0,), (0,)), 1),
+    (((2, 6), (0.0, 0.3), (0, 2, 6), (0.0, 1.0), (0, 2, 6), (0.0, 1.0), (0, 1), (0,), (0,), (0, 1)), 0),
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def labelled_blocks(kinds=KINDS) -> list[tuple[tuple, int]]:
+    return [(v, y) for choices, y in kinds for v in product(*choices)]
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12):
     """A decision tree by Gini impurity: (feature, threshold, below, above) or a class."""
     if depth == 0 or y.min() == y.max():
         return int(2 * y.sum() >= len(y))
@@ -167,7 +172,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     return (f, float(cut), grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
 
-def train(labelled=LABELLED):
+def train(labelled=None):
+    labelled = labelled or labelled_blocks()
     return grow(np.array([v for v, _ in labelled], dtype=float), np.array([c for _, c in labelled]))
 
 
@@ -189,7 +195,7 @@ def main_text(html: str | None, tree) -> str:
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, labelled=LABELLED) -> DataFrame:
+def extract(pages: DataFrame, labelled=None) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages``, from the whole html.
 
     Null or empty html gives empty text; markup that never closes is read to its
