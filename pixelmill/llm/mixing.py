@@ -24,7 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A source's target is at most so many times its size.
 MOST = 3.0
 #: Documents in a bucket on average, and residuals that meet at a node of the tree.
-BUCKET, FAN_IN = 20_000, 1_000
+BUCKET, FAN_IN = 2_000, 500
 
 
 def word_count(column: str = "text") -> Column:
