@@ -90,22 +90,27 @@ def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
     if not items.by_length or len(words) < items.least_words:
         return []
     found: dict[int, tuple[int, int, int, float]] = {}
-    by_size: dict[int, np.ndarray] = {}
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for length in sorted(items.by_length):
         if length > len(words):
             break
         k = min(SHINGLE, length)
         if k not in by_size:
             s = shingle_hashes(words, k)
-            hit = items.low[(s & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            by_size[k] = (s, hit & np.isin(s, items.every) if hit.any() else hit)
-        s, any_hit = by_size[k]
-        if not np.any(any_hit):
-            continue
+            at = np.flatnonzero(items.low[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            by_size[k] = (s, at[np.isin(s[at], items.every)] if len(at) else at)
+        s, at = by_size[k]
         g, n = items.by_length[length], length - k + 1
         # Shared weight I of two n-shingle multisets with I / (2n - I) >= t is at least 2nt / (1 + t).
         need = 2 * n * items.similarity / (1 + items.similarity) - 1e-9
-        sums = np.concatenate([[0], np.cumsum(any_hit & np.isin(s, g["shingles"]))])
+        if len(at) < need:
+            continue
+        own_at = at[np.isin(s[at], g["shingles"])]
+        if len(own_at) < need:
+            continue
+        hit = np.zeros(len(s) + 1, dtype=np.int64)
+        hit[own_at + 1] = 1
+        sums = np.cumsum(hit)
         starts = np.flatnonzero(sums[n:] - sums[: len(sums) - n] >= need)
         for p in starts:
             window = s[p : p + n]
