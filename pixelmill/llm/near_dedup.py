@@ -202,11 +202,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         else:
             left = now.join(per.select("key"), "key")
             left = left.join(_own_shingles(sets, left), "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-            left = cut(left.filter(F.col("most") * 100 >= F.col("n") * percent).drop("own"))
-            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp", "most")])
+            left = left.filter(F.col("most") * 100 >= F.col("n") * percent).drop("own")
+            left = cut(left.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id"))
+            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp", "most", "bands")])
             most = F.least("most", "most_")
             able = (F.col("comp") < F.col("comp_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent)
-            far = left.join(right, "key").filter(able & _alike(F.col("n"), F.col("n_"), F.col("s1"), F.col("s1_"), F.col("s2"), F.col("s2_"), percent))
+            once = F.get(F.array_intersect("bands", "bands_"), F.lit(0)) == F.col("key")  # a pair comes from its first common bucket only
+            able = able & _alike(F.col("n"), F.col("n_"), F.col("s1"), F.col("s1_"), F.col("s2"), F.col("s2_"), percent)
+            far = left.join(right, "key").filter(able & once)
             pairs = far.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
