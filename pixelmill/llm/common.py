@@ -94,3 +94,12 @@ def shingle_hashes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     for i in range(k):
         x = x * np.uint64(0x9E3779B97F4A7C15) + words[i : i + rows]
     return mix(x)
+
+
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value of x is in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), dtype=bool)
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import SHINGLE, mix, shingle_hashes, utf8, word_hashes
+from pixelmill.llm.common import SHINGLE, among, mix, shingle_hashes, utf8, word_hashes
 
 SIMILARITY = 0.8
 BITS, RADIUS, BLOCKS = 128, 32, 11
@@ -98,14 +98,14 @@ def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
         if k not in by_size:
             s = shingle_hashes(words, k)
             at = np.flatnonzero(items.low[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            by_size[k] = (s, at[np.isin(s[at], items.every)] if len(at) else at)
+            by_size[k] = (s, at[among(s[at], items.every)] if len(at) else at)
         s, at = by_size[k]
         g, n = items.by_length[length], length - k + 1
         # Shared weight I of two n-shingle multisets with I / (2n - I) >= t is at least 2nt / (1 + t).
         need = 2 * n * items.similarity / (1 + items.similarity) - 1e-9
         if len(at) < need:
             continue
-        own_at = at[np.isin(s[at], g["shingles"])]
+        own_at = at[among(s[at], g["shingles"])]
         if len(own_at) < need:
             continue
         hit = np.zeros(len(s) + 1, dtype=np.int64)
