@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import mix, shingle_hashes, utf8, word_hashes
+from pixelmill.llm.common import among, mix, shingle_hashes, utf8, word_hashes
 
 #: Share of a template's shingles that a text must hold.
 CONTAINMENT = 0.8
@@ -62,21 +62,24 @@ class Templates:
 def licences(text: bytes, t: Templates, containment: float = CONTAINMENT) -> list[tuple[str, int, int, float]]:
     """(licence, first word, words, containment) of the best window for each licence in the text."""
     words = word_hashes(text)
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     best: dict[str, tuple[str, int, int, float]] = {}
     for length in t.lengths:
         if not len(words) or len(words) < containment * length:
             continue
         size = min(SHINGLE_WORDS, length)
-        s = shingle_hashes(words, min(size, len(words)))
-        known = np.isin(s, t.every)
-        if not known.any():
+        if size not in by_size:
+            s = shingle_hashes(words, size)
+            by_size[size] = (s, np.flatnonzero(among(s, t.every)))
+        s, known = by_size[size]
+        if not len(known):
             continue
         n = length - size + 1
         step = max(1, n // 2)
         run = n + step - 1
-        for start in range(0, max(1, len(s) - run + step), step):
-            if not known[start : start + run].any():
-                continue  # shares no shingle with any template
+        # Of the windows over the whole text, those that share a shingle with some template.
+        firsts = {f for k in known.tolist() for f in range(max(0, k - run + 1 + step - 1) // step, k // step + 1)}
+        for start in (f * step for f in sorted(firsts)):
             window = np.unique(s[start : start + run])
             near = {i for b, v in enumerate(t.minhash(window)) for i in t.index[b].get(int(v), ())}
             for i in near:
