@@ -160,11 +160,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     marks = marks.filter(id_crc() % 4 != 2)
     total = marks.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     share = ((total["t"] or 0) + 0.5) / (total["n"] + 1)
-    short = docs.select("doc_id", utf8().alias("text"), F.length("text").alias("n")).filter(F.col("n") <= s.max_chars)
-    known = short.join(marks, "doc_id").select("text", "y", id_crc().alias("at"), "doc_id")
-    rows = []
+    # Ids first: texts are read only for the sample, whose ids (at most 2 max_rows) go to all executors.
+    sizes = docs.select("doc_id", F.length("text").alias("n"), id_crc().alias("at")).filter(F.col("n") <= s.max_chars).select("doc_id", "at")
+    known = sizes.join(marks, "doc_id")
+    picked = []
     for y in (0, 1):
-        rows += [(bytes(r["text"]), y) for r in known.filter(F.col("y") == y).orderBy("at", "doc_id").limit(s.max_rows).collect()]
+        picked += [(r["doc_id"], y) for r in known.filter(F.col("y") == y).orderBy("at", "doc_id").limit(s.max_rows).collect()]
+    if not picked:
+        return fit([], share, s)
+    sample = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int").distinct()
+    texts = docs.select("doc_id", utf8().alias("text"), F.length("text").alias("n")).filter(F.col("n") <= s.max_chars).join(F.broadcast(sample), "doc_id")
+    rows = [(bytes(r["text"]), r["y"]) for r in sorted(texts.select("doc_id", "text", "y").collect())]
     return fit(rows, share, s)
 
 
