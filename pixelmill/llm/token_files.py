@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import CACHE_WORDS, scratch_dir, utf8
 
 END_ID = 2
+#: A character that is a token of its own between words.
+MARK, BETWEEN = b"\x01", b" \x01 "
 
 
 @dataclass
@@ -48,13 +50,28 @@ class _Ids(dict):
     def __init__(self, tokenizer, dtype):
         super().__init__()
         self.tokenizer, self.dtype = tokenizer, dtype
+        (self.mark,) = self.encoded(MARK.decode())
 
-    def __missing__(self, word: bytes) -> bytes:
+    def learn(self, words: list[bytes]) -> None:
+        """Encode the words that aren't known yet in one call, told apart by a mark that stands alone between them."""
+        new = list(set(words).difference(self))
+        if not new:
+            return
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, dtype=self.dtype).tobytes()
-        return value
+            new = list(set(words))
+        for w in [w for w in new if MARK in w]:
+            self[w] = self.encoded(w.decode("utf-8")).tobytes()
+        new = [w for w in new if MARK not in w]
+        ids = self.encoded(BETWEEN.join([b"", *new, b""]).decode("utf-8"))
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(new) + 1:
+            raise ValueError("the tokenizer doesn't keep the mark apart from words")
+        for w, i, j in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            self[w] = ids[i + 1 : j].tobytes()
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> TokenFiles:
@@ -90,7 +107,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out = out or fs.open_output_stream(f"{root}/{name}.bin")
-                made = b"".join(map(ids.__getitem__, text.split())) + end
+                words = text.split()
+                ids.learn(words)
+                made = b"".join(map(ids.__getitem__, words)) + end
                 out.write(made)
                 lengths.append(len(made) // wide)
                 keys.append(key)
