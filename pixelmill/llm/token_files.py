@@ -9,6 +9,7 @@ row a shard, takes prefix sums for the shards' bases and writes ``shards.json``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -24,9 +25,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import CACHE_WORDS, scratch_dir, utf8
+from pixelmill.llm.common import scratch_dir, utf8
 
 END_ID = 2
+#: Words whose ids a worker remembers, from task to task, before it starts afresh.
+KNOWN_WORDS = 1 << 19
+_known: dict[tuple[str, str], "_Ids"] = {}
 #: A character that is a token of its own between words.
 MARK, BETWEEN = b"\x01", b" \x01 "
 
@@ -54,10 +58,10 @@ class _Ids(dict):
 
     def learn(self, words: list[bytes]) -> None:
         """Encode the words that aren't known yet in one call, told apart by a mark that stands alone between them."""
-        new = list(set(words).difference(self))
+        new = [w for w in set(words) if w not in self]
         if not new:
             return
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
             new = list(set(words))
         for w in [w for w in new if MARK in w]:
@@ -96,7 +100,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = _Ids(Tokenizer.from_str(box.value), dtype)
+        key = (hashlib.sha256(box.value.encode()).hexdigest(), dtype)
+        if key not in _known:
+            _known.clear()
+            _known[key] = _Ids(Tokenizer.from_str(box.value), dtype)
+        ids = _known[key]
         end, wide = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
         fs, root = _open_fs(path)
         fs.create_dir(root, recursive=True)
