@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,14 +26,23 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import scratch_dir, utf8
+from pixelmill.llm.common import scratch_dir
 
 END_ID = 2
-#: Words whose ids a worker remembers, from task to task, before it starts afresh.
-KNOWN_WORDS = 1 << 19
+#: Pieces whose ids a worker remembers, from task to task, before it starts afresh.
+KNOWN_PIECES = 1 << 19
+#: Characters of text whose new pieces are encoded in one call.
+CHUNK = 1 << 20
 _known: dict[tuple[str, str], "_Ids"] = {}
-#: A character that is a token of its own between words.
-MARK, BETWEEN = b"\x01", b" \x01 "
+#: A character that is a token of its own between pieces.
+MARK, BETWEEN = "\x01", " \x01 "
+#: Fixed value: a pre-tokenizer that drops white space and encodes each match by itself; what it matches in lower-case Latin-1.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+BEYOND = re.compile("[^\x00-\xff]")
+WORD = re.compile("[^ \t-\r]+")
+#: With this in a word, an added token may be in it.
+ADDED = "<|"
 
 
 @dataclass
@@ -48,34 +58,79 @@ def _open_fs(path: str):
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
-class _Ids(dict):
-    """Word -> its ids as bytes. The pre-tokenizer drops white space and never looks across it."""
+def _in_pieces(content: str) -> bool:
+    """Whether the tokenizer lowers its text and splits it by SPLIT, so that pieces can be encoded apart."""
+    made = json.loads(content)
+    steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+    added = [x["content"] for x in made.get("added_tokens", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT] and all(ADDED in x and len(x.split()) == 1 for x in added)
 
-    def __init__(self, tokenizer, dtype):
-        super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
-        (self.mark,) = self.encoded(MARK.decode())
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words that aren't known yet in one call, told apart by a mark that stands alone between them."""
-        new = [w for w in set(words) if w not in self]
-        if not new:
-            return
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-            new = list(set(words))
+def pieces(text: str) -> list[str]:
+    """What SPLIT would match, and whole words where they go beyond Latin-1 or may hold an added token."""
+    if ADDED not in text and not BEYOND.search(text):
+        return LATIN_SPLIT.findall(text.lower())
+    out: list[str] = []
+    for w in WORD.findall(text):
+        if ADDED not in w and not BEYOND.search(w):
+            out += LATIN_SPLIT.findall(w.lower())
+        else:
+            out.append(w)
+    return out
+
+
+class _Ids:
+    """Ids of texts as bytes; remembers those of pieces where the tokenizer allows it."""
+
+    def __init__(self, content: str, dtype: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.dtype, self.apart = Tokenizer.from_str(content), dtype, _in_pieces(content)
+        self.known: dict[str, bytes] = {}
+        if self.apart:
+            (self.mark,) = self.encoded(MARK)
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return [self.encoded(t).tobytes() for t in texts]
+        cut = [pieces(t) for t in texts]
+        wanted: set[str] = set().union(*cut)
+        if len(self.known) >= KNOWN_PIECES:
+            self.known.clear()
+        self.learn([w for w in wanted if w not in self.known])
+        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode new pieces in one call, told apart by a mark that stands alone between them."""
         for w in [w for w in new if MARK in w]:
-            self[w] = self.encoded(w.decode("utf-8")).tobytes()
+            self.known[w] = self.encoded(w).tobytes()
         new = [w for w in new if MARK not in w]
-        ids = self.encoded(BETWEEN.join([b"", *new, b""]).decode("utf-8"))
+        if not new:
+            return
+        ids = self.encoded(BETWEEN.join(["", *new, ""]))
         at = np.flatnonzero(ids == self.mark)
         if len(at) != len(new) + 1:
-            raise ValueError("the tokenizer doesn't keep the mark apart from words")
-        for w, i, j in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self[w] = ids[i + 1 : j].tobytes()
+            raise ValueError("the tokenizer doesn't keep the mark apart from pieces")
+        whole, wide = ids.tobytes(), ids.itemsize
+        for w, i, j in zip(new, (at[:-1] * wide).tolist(), (at[1:] * wide).tolist(), strict=True):
+            self.known[w] = whole[i + wide : j]
 
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+def _chunks(column: list[str]) -> Iterator[list[str]]:
+    part: list[str] = []
+    used = 0
+    for t in column:
+        part.append(t)
+        used += len(t)
+        if used >= CHUNK:
+            yield part
+            part, used = [], 0
+    if part:
+        yield part
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> TokenFiles:
@@ -94,7 +149,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
     path = path or scratch_dir(spark)
     box = spark.sparkContext.broadcast(content)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", utf8().alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +158,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
         key = (hashlib.sha256(box.value.encode()).hexdigest(), dtype)
         if key not in _known:
             _known.clear()
-            _known[key] = _Ids(Tokenizer.from_str(box.value), dtype)
+            _known[key] = _Ids(box.value, dtype)
         ids = _known[key]
         end, wide = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
         fs, root = _open_fs(path)
@@ -113,14 +168,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
         keys: list[int] = []
         out = None
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out = out or fs.open_output_stream(f"{root}/{name}.bin")
-                words = text.split()
-                ids.learn(words)
-                made = b"".join(map(ids.__getitem__, words)) + end
-                out.write(made)
-                lengths.append(len(made) // wide)
-                keys.append(key)
+            out = out or fs.open_output_stream(f"{root}/{name}.bin")
+            keys += b.column(0).to_pylist()
+            for part in _chunks(b.column(1).to_pylist()):
+                for made in ids.of(part):
+                    out.write(made + end)
+                    lengths.append(len(made) // wide + 1)
         if out is None:
             return
         out.close()
