@@ -186,6 +186,19 @@ def test_tokens(spark, docs, texts, empty):
     assert token_files.read_tokens(spark, token_files.write_tokens(empty, queries.vocabulary_path())).count() == 0
 
 
+def test_token_pieces():
+    from tokenizers import Tokenizer
+
+    with open(queries.vocabulary_path(), encoding="utf-8") as f:
+        content = f.read()
+    ids, plain = token_files._Ids(content, "<u2"), Tokenizer.from_str(content)
+    odd = ["", "  ", "<|endoftext|>", "a<|ENDOFTEXT|>B x", "J\u030c \u0301a", "\u0130I\u0307 \u03a3\u0391\u03a3", "don't DON'T it's'll", "x\x01y \x01", "\x1c a\x1db\x85c d", "$$$,,a1234b", " x\x00y\x7f", "\u216b \u212a"]
+    odd += ["\xb2a\xbc\xaa\xd7\xf7\xc0\xb5\xa0x\x85y \xdf\xff", "Caf\xe9, \xc9L\xc8VE! e\u0301 \u2019s l\u2019a", "x\u00ad\u00b4s \u00a8", "\u043f\u0440\u0418, \u6f22\u5b57\u3000x", "y" * 5_000]
+    assert ids.apart
+    for text, got in zip(odd, ids.of(odd), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_contamination(spark, docs, texts, empty):
     bench = table(spark, D, "benchmark").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "one two"), (None, "x y z")], "item_id long, text string"))
     items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None and r.text]
