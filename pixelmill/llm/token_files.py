@@ -14,6 +14,7 @@ import json
 import os
 import re
 import shutil
+import struct
 import tempfile
 import uuid
 import zlib
@@ -31,11 +32,7 @@ from pixelmill.llm.common import scratch_dir
 END_ID = 2
 #: Pieces whose ids a worker remembers, from task to task, before it starts afresh.
 KNOWN_PIECES = 1 << 19
-#: Characters of text whose new pieces are encoded in one call.
-CHUNK = 1 << 20
 _known: dict[tuple[str, str], "_Ids"] = {}
-#: A character that is a token of its own between pieces.
-MARK, BETWEEN = "\x01", " \x01 "
 #: Fixed value: a pre-tokenizer that drops white space and encodes each match by itself; what it matches in lower-case Latin-1.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -43,6 +40,9 @@ BEYOND = re.compile("[^\x00-\xff]")
 WORD = re.compile("[^ \t-\r]+")
 #: With this in a word, an added token may be in it.
 ADDED = "<|"
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _SHOWN))}
 
 
 @dataclass
@@ -59,12 +59,14 @@ def _open_fs(path: str):
 
 
 def _in_pieces(content: str) -> bool:
-    """Whether the tokenizer lowers its text and splits it by SPLIT, so that pieces can be encoded apart."""
+    """Whether the tokenizer lowers its text, splits it by SPLIT and merges bytes, so that pieces can be encoded apart."""
     made = json.loads(content)
     steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
-    splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+    first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    splits = [(x.get("type"), x.get("pattern", {}).get("Regex"), x.get("use_regex"), x.get("add_prefix_space")) for x in first]
     added = [x["content"] for x in made.get("added_tokens", [])]
-    return steps == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT] and all(ADDED in x and len(x.split()) == 1 for x in added)
+    split = splits == [("Split", SPLIT, None, None), ("ByteLevel", None, False, False)]
+    return steps == ["NFC", "Replace", "Lowercase"] and split and made["model"].get("type") == "BPE" and made.get("post_processor") is None and all(ADDED in x and len(x.split()) == 1 for x in added)
 
 
 def pieces(text: str) -> list[str]:
@@ -80,57 +82,33 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-class _Ids:
+class _Ids(dict):
     """Ids of texts as bytes; remembers those of pieces where the tokenizer allows it."""
 
     def __init__(self, content: str, dtype: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.dtype, self.apart = Tokenizer.from_str(content), dtype, _in_pieces(content)
-        self.known: dict[str, bytes] = {}
-        if self.apart:
-            (self.mark,) = self.encoded(MARK)
-
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if not self.apart:
-            return [self.encoded(t).tobytes() for t in texts]
-        cut = [pieces(t) for t in texts]
-        wanted: set[str] = set().union(*cut)
-        if len(self.known) >= KNOWN_PIECES:
-            self.known.clear()
-        self.learn([w for w in wanted if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-
-    def learn(self, new: list[str]) -> None:
-        """Encode new pieces in one call, told apart by a mark that stands alone between them."""
-        for w in [w for w in new if MARK in w]:
-            self.known[w] = self.encoded(w).tobytes()
-        new = [w for w in new if MARK not in w]
-        if not new:
-            return
-        ids = self.encoded(BETWEEN.join(["", *new, ""]))
-        at = np.flatnonzero(ids == self.mark)
-        if len(at) != len(new) + 1:
-            raise ValueError("the tokenizer doesn't keep the mark apart from pieces")
-        whole, wide = ids.tobytes(), ids.itemsize
-        for w, i, j in zip(new, (at[:-1] * wide).tolist(), (at[1:] * wide).tolist(), strict=True):
-            self.known[w] = whole[i + wide : j]
-
-
-def _chunks(column: list[str]) -> Iterator[list[str]]:
-    part: list[str] = []
-    used = 0
-    for t in column:
-        part.append(t)
-        used += len(t)
-        if used >= CHUNK:
-            yield part
-            part, used = [], 0
-    if part:
-        yield part
+        self.model, self.form = self.tokenizer.model, dtype[0] + "%d" + {"u2": "H", "u4": "I"}[dtype[1:]]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KNOWN_PIECES:
+            self.clear()
+        if ADDED in piece or BEYOND.search(piece):
+            value = self.encoded(piece)
+        else:  # already normalised and one match of SPLIT: only the model's merges are left
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LEVEL))
+            value = struct.pack(self.form % len(found), *[t.id for t in found])
+        self[piece] = value
+        return value
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        for t in texts:
+            yield b"".join(map(self.__getitem__, pieces(t))) if self.apart else self.encoded(t)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> TokenFiles:
@@ -170,10 +148,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end_
         for b in batches:
             out = out or fs.open_output_stream(f"{root}/{name}.bin")
             keys += b.column(0).to_pylist()
-            for part in _chunks(b.column(1).to_pylist()):
-                for made in ids.of(part):
-                    out.write(made + end)
-                    lengths.append(len(made) // wide + 1)
+            for made in ids.of(b.column(1).to_pylist()):
+                out.write(made + end)
+                lengths.append(len(made) // wide + 1)
         if out is None:
             return
         out.close()
