@@ -15,6 +15,8 @@ from pixelmill.llm.common import cut, remove, table
 from pixelmill.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Similarity in percent from which the near-dedup stage links; op2's own threshold is fixed by its contract.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """Keep the document with the least id of each group of near duplicates, linked at NEAR percent."""
+    gone = near_dedup.near_duplicates(docs, percent=NEAR).filter("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

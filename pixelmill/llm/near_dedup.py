@@ -13,6 +13,7 @@ linked, and no link between candidates is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,29 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.common import cut, mix, shingle_hashes, utf8, word_hashes
 
-#: Coordinates, and coordinates in a band: a pair at 0.85 shares no band with a chance of 8e-7.
-T, ROWS = 120, 5
+#: Coordinates, and the chance with which a pair at the threshold may share no band.
+T, MISS = 120, 1e-6
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 85
 PIVOT_ROUNDS = 3
-#: One bit of each coordinate is kept for comparing; at 0.85 a pair differs in 9 of 120 on average (deviation 2.9).
-MOST_BITS = 28
+#: Deviations from the mean of differing bits beyond which a pair at the threshold may lie.
+DEVIATIONS = 6.5
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def band_rows(percent: int) -> int:
+    """Coordinates in a band: the most with which a pair at the threshold is missed with a chance of at most MISS (85: 5, 8e-7; 80: 4, 1e-7)."""
+    p = percent / 100
+    return max((r for r in range(1, T + 1) if T % r == 0 and (1 - p**r) ** (T // r) <= MISS), default=1)
+
+
+def most_bits(percent: int) -> int:
+    """One bit of each coordinate is kept for comparing; a pair at the threshold differs in (1 - p) / 2 of them (85: 9 of 120, at most 28; 80: 12, at most 34)."""
+    q = (1 - percent / 100) / 2
+    return math.ceil(T * q + DEVIATIONS * math.sqrt(T * q * (1 - q)))
+
+
 def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     """Fast similarity sketches, one row a set of distinct 64-bit hashes.
 
@@ -57,7 +70,7 @@ def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out.reshape(n, t)
 
 
-def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(sketches: np.ndarray, rows: int) -> np.ndarray:
     n, t = sketches.shape
     parts = mix(sketches).reshape(n, t // rows, rows)
     key = np.broadcast_to(np.arange(t // rows, dtype="<u8") + np.uint64(1), (n, t // rows)).copy()
@@ -77,8 +90,9 @@ def text_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text)))
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), s1, s2, bands for each row."""
+    band = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,7 +100,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 part = b.slice(at, 512)
                 sets = [text_set(t) for t in part.column(1).to_pylist()]
                 sk = sketch(sets)
-                keys, bits = bands(sk), one_bit(sk)
+                keys, bits = bands(sk, band), one_bit(sk)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
@@ -163,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _alike(n: Column, m: Column, s1: Column, p1: Column, s2: Column, p2: Column, percent: int) -> Column:
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    return sizes & (F.bit_count(s1.bitwiseXOR(p1)) + F.bit_count(s2.bitwiseXOR(p2)) <= MOST_BITS)
+    return sizes & (F.bit_count(s1.bitwiseXOR(p1)) + F.bit_count(s2.bitwiseXOR(p2)) <= most_bits(percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -174,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     id are one document of the graph; rows without an id link with nothing, get a
     null component and are kept. Extra columns are ignored.
     """
-    made = cut(describe(docs))
+    made = cut(describe(docs, percent))
     real = made.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     same = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"))
     same = cut(same)

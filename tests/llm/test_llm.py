@@ -296,3 +296,23 @@ def test_pipeline(spark):
         assert out.columns == list(C.COLUMNS), name
         assert {r.doc_id for r in out.select("doc_id").collect()} <= ids
     assert C.run(spark, D).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_near_threshold(spark):
+    """The stage links at 0.80; op2's query stays at 0.85."""
+    import corpus_pipeline as C
+
+    w = [f"w{i}" for i in range(144)]
+    far = [*w[:78], "x", *w[79:100], "y", *w[101:]]  # 130 of 150 shingles shared: 0.867
+    near = [*w[:40], "x", *w[41:80], "y", *w[81:120], "z", *w[121:]]  # 125 of 155: 0.806
+    odd = [*near[:60], "u", *near[61:]]  # 120 of 160 with w: 0.75, but linked to near
+    rows = [(k, " ".join(x), "en", "src0", 1) for k, x in enumerate((w, far, near, odd, [f"v{i}" for i in range(50)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = components({r[0]: shingles(r[1]) for r in rows}, 80)
+    assert want == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    assert {r.doc_id for r in C.drop_near_duplicates(spark, df, D).collect()} == {0, 4}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == components({r[0]: shingles(r[1]) for r in rows})
+    for percent in (80, 85, 90):
+        rows_, p = near_dedup.band_rows(percent), percent / 100
+        assert (1 - p**rows_) ** (near_dedup.T // rows_) <= 1e-6
+    assert (near_dedup.band_rows(85), near_dedup.most_bits(85), near_dedup.band_rows(80), near_dedup.most_bits(80)) == (5, 28, 4, 34)
