@@ -36,10 +36,11 @@ THRESHOLD = 0.3
 class Settings:
     window_words: int = 6
     level: int = 3
-    #: Bytes of a dictionary for what the classes share, and for a class's own segments.
+    #: Bytes of a dictionary for what the classes share.
     common_bytes: int = 100_000
-    own_bytes: int = 500
+    #: A class's own segments have no bound in bytes: all words of these odds go in, of which so large a share is expected to be there by chance.
     odds: float = 8.0
+    false_share: float = 0.01
     #: Bounds of the labelled sample: rows of each class, and length of a sampled row in characters.
     max_rows: int = 4_000
     max_chars: int = 20_000
@@ -79,12 +80,12 @@ def gains(made, parts: list[bytes]) -> np.ndarray:
     return np.fromiter((len(ordinary(x)) - len(toxic(x)) for x in parts), dtype=np.int64, count=len(parts))
 
 
-def _filled(segments, size: int) -> bytes:
-    """Segments up to ``size`` bytes, the first ones last: zstandard reaches the end most cheaply."""
+def _filled(segments, size: int | None) -> bytes:
+    """Segments up to ``size`` bytes (None: all), the first ones last: zstandard reaches the end most cheaply."""
     taken, used = [], 0
     for s in segments:
         used += len(s) + 1
-        if used > size:
+        if size is not None and used > size:
             break
         taken.append(s)
     return b" ".join(reversed(taken)) + b" "
@@ -100,25 +101,52 @@ def features(values: np.ndarray, ratios: np.ndarray) -> list[float]:
     return [first, r.mean(), top[0], top[:3].sum() / 3, length, first * length, top[0] * length]
 
 
-def fit(rows: list[tuple[bytes, int]], share: float, settings: Settings | None = None) -> Model:
-    """Train both dictionaries, the ratios and the calibration; ``share`` is the toxic share of all labels.
+def _odd(ordinary: Counter, toxic: Counter, docs: list[int], s: Settings) -> list[bytes]:
+    """All words that favour toxic rows by the odds, of which an expected share of ``false_share`` at most does so by chance.
 
-    Without rows of both classes the model gives every text the smoothed share.
+    The chance that a word's rows fall to the toxic class as often as seen is a
+    binomial tail; the words to keep follow by Benjamini and Hochberg.
     """
-    s = settings or Settings()
+    q = docs[1] / sum(docs)
+    ways: dict[tuple[int, int], float] = {}
+    found = []
+    for w, n in toxic.items():
+        m = ordinary[w]
+        if n > 1 and n / docs[1] > s.odds * m / docs[0]:
+            if (n, m) not in ways:
+                t = n + m
+                logs = [math.lgamma(t + 1) - math.lgamma(k + 1) - math.lgamma(t - k + 1) + k * math.log(q) + (t - k) * math.log(1 - q) for k in range(n, t + 1)]
+                ways[n, m] = sum(map(math.exp, logs))
+            found.append((ways[n, m], w))
+    found.sort()
+    keep = max((i for i, (p, _) in enumerate(found, 1) if p * len(toxic) <= s.false_share * i), default=0)
+    return [w for _, w in found[:keep]] or [w for w, n in toxic.items() if n / docs[1] > 2 * (ordinary[w] + 1) / docs[0]]
+
+
+def dictionaries(rows: list[tuple[bytes, int]], s: Settings) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary: all words odd to toxic text against as many bytes of ordinary words."""
     counts, docs = (Counter(), Counter()), [0, 0]
     for text, y in rows:
         counts[y].update(set(text.lower().split()))
         docs[y] += 1
-    if not all(docs):
-        return Model(b" ", b" ", s, weights=np.array([math.log((share + 1e-3) / (1 - share + 1e-3))] + [0.0] * 7), mean=np.zeros(8), scale=np.ones(8))
     ordinary, toxic = counts
     common = _filled((w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1] - toxic[x[0]], x[0]))), s.common_bytes)
-    odd = [w for w, n in toxic.items() if n > 1 and n / docs[1] > s.odds * (ordinary[w] + 2) / docs[0]]
-    odd = odd or [w for w, n in toxic.items() if n / docs[1] > 2 * (ordinary[w] + 1) / docs[0]]
-    own = _filled(sorted(odd, key=lambda w: (-toxic[w], w)), s.own_bytes)
+    odd = _odd(ordinary, toxic, docs, s)
+    own = _filled(sorted(odd, key=lambda w: (-toxic[w], w)), None)
     plain = _filled(sorted((w for w, n in ordinary.items() if n > 1 and not toxic[w]), key=lambda w: (-ordinary[w], w)), len(own))
-    model = Model(common + own, common + plain, s)
+    return common + own, common + plain.rjust(len(own))
+
+
+def fit(rows: list[tuple[bytes, int]], share: float, settings: Settings | None = None) -> Model:
+    """Train both dictionaries, the ratios and the calibration; ``share`` is the toxic share of all labels.
+
+    Without rows of both classes the model gives every text the smoothed share.
+    """
+    s = settings or Settings()
+    docs = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    if not all(docs):
+        return Model(b" ", b" ", s, weights=np.array([math.log((share + 1e-3) / (1 - share + 1e-3))] + [0.0] * 7), mean=np.zeros(8), scale=np.ones(8))
+    model = Model(*dictionaries(rows, s), s)
     cut = [(windows(text, s.window_words), y) for text, y in rows]
     made = model.compressors()
     values = [gains(made, parts) for parts, _ in cut]

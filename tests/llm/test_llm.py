@@ -316,3 +316,21 @@ def test_pipeline_near_threshold(spark):
         rows_, p = near_dedup.band_rows(percent), percent / 100
         assert (1 - p**rows_) ** (near_dedup.T // rows_) <= 1e-6
     assert (near_dedup.band_rows(85), near_dedup.most_bits(85), near_dedup.band_rows(80), near_dedup.most_bits(80)) == (5, 28, 4, 34)
+
+
+def test_toxicity_own_words():
+    """All words that are odd to toxic text are learnt, far beyond 500 bytes of them."""
+    r = np.random.default_rng(5)
+    usual = [f"usual{i}" for i in range(400)]
+    bad = [f"{''.join(chr(97 + c) for c in r.integers(0, 26, 9))}" for _ in range(240)]
+    made = lambda words: " ".join(words).encode()
+    rows = [(made(r.choice(usual, 40)), 0) for _ in range(900)]
+    for k in range(600):  # each bad word is in ten rows
+        w = list(r.choice(usual, 36))
+        rows.append((made([*w[:18], *(bad[(4 * k + j) % 240] for j in range(4)), *w[18:]]), 1))
+    model = toxicity.fit(rows, 0.4)
+    assert all(w.encode() in model.toxic for w in bad) and len(model.toxic) == len(model.ordinary)
+    new = [made([*r.choice(usual, 18), *(bad[(4 * k + j + 7) % 240] for j in range(4)), *r.choice(usual, 18)]) for k in range(60)]
+    assert (toxicity.score_texts(model, model.compressors(), new) >= toxicity.THRESHOLD).mean() > 0.95
+    clean = [made(r.choice(usual, 40)) for _ in range(60)]
+    assert (toxicity.score_texts(model, model.compressors(), clean) < toxicity.THRESHOLD).mean() > 0.9
