@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A benchmark item of L words is compared with every run of L words of a document.
+A benchmark item of L words is compared with every run of L words of a document,
+and with the whole of a document that is shorter (an item with words cut off).
 Windows that could reach the similarity (enough of their shingles occur in some
 item of that length, by running sums; none that could is left out) get a 128-bit
 SimHash of their weighted shingles. The fingerprints of the items stand in
@@ -11,6 +12,7 @@ all of them. The weighted shingle similarity of each candidate is then exact.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -49,6 +51,12 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
 
 
+def least_words(length: int, similarity: float) -> int:
+    """Words of the shortest text that can reach the similarity with an item of ``length`` words."""
+    k = min(SHINGLE, length)
+    return k - 1 + max(1, math.ceil((length - k + 1) * similarity - 1e-9))
+
+
 class Items:
     """The benchmark: shingles, and by length the fingerprints in blocks."""
 
@@ -81,7 +89,7 @@ class Items:
         self.every = every
         self.low = np.zeros(1 << 20, dtype=bool)
         self.low[(every & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.least_words = min(self.by_length, default=0)
+        self.least_words = min((least_words(n, similarity) for n in self.by_length), default=0)
 
 
 def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
@@ -92,17 +100,18 @@ def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
     found: dict[int, tuple[int, int, int, float]] = {}
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for length in sorted(items.by_length):
-        if length > len(words):
-            break
+        if len(words) < least_words(length, items.similarity):
+            continue
+        size = min(length, len(words))  # a shorter document is one window
         k = min(SHINGLE, length)
         if k not in by_size:
             s = shingle_hashes(words, k)
             at = np.flatnonzero(items.low[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
             by_size[k] = (s, at[among(s[at], items.every)] if len(at) else at)
         s, at = by_size[k]
-        g, n = items.by_length[length], length - k + 1
-        # Shared weight I of two n-shingle multisets with I / (2n - I) >= t is at least 2nt / (1 + t).
-        need = 2 * n * items.similarity / (1 + items.similarity) - 1e-9
+        g, n = items.by_length[length], size - k + 1
+        # Shared weight I of multisets of n and m shingles with I / (n + m - I) >= t is at least (n + m)t / (1 + t).
+        need = (n + length - k + 1) * items.similarity / (1 + items.similarity) - 1e-9
         if len(at) < need:
             continue
         own_at = at[among(s[at], g["shingles"])]
@@ -123,7 +132,7 @@ def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
                 own = own or Counter(window.tolist())
                 j = weighted_jaccard(own, g["counts"][i])
                 if j >= items.similarity and (i_id := g["ids"][i]) is not None and j > found.get(i_id, (0, 0, 0, 0.0))[3]:
-                    found[i_id] = (i_id, int(p), length, j)
+                    found[i_id] = (i_id, int(p), size, j)
     return sorted(found.values())
 
 
@@ -140,8 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """doc_id, item_id, start_word, n_words, similarity: each item that a document holds, once, by its best window.
 
     Null and empty texts and items match nothing; items without an id are left
-    out; items of fewer than five words are one shingle; rows repeat as they come;
-    extra columns are ignored; an empty benchmark gives an empty result.
+    out; items of fewer than five words are one shingle; a document shorter than an
+    item is compared as a whole; rows repeat as they come; extra columns are
+    ignored; an empty benchmark gives an empty result.
     """
     items = load_items(benchmark, similarity)
     box = docs.sparkSession.sparkContext.broadcast(items)

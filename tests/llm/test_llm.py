@@ -334,3 +334,21 @@ def test_toxicity_own_words():
     assert (toxicity.score_texts(model, model.compressors(), new) >= toxicity.THRESHOLD).mean() > 0.95
     clean = [made(r.choice(usual, 40)) for _ in range(60)]
     assert (toxicity.score_texts(model, model.compressors(), clean) < toxicity.THRESHOLD).mean() > 0.9
+
+
+def test_contamination_trimmed(spark):
+    """Documents that are an item with words cut off at either end or both, against brute force on whole texts."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((3, 5, 6, 7, 10, 14, 40, 41, 100))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts, want = [], set()
+    for _, t in items:
+        w = t.split()
+        texts += [" ".join(w[a : len(w) - b]) for a in range(12) for b in range(12) if a + b < len(w)]
+    for d, t in enumerate(texts):
+        w = t.encode().split()
+        for k, item in items:
+            j = decontaminate.weighted_jaccard(Counter(grams(w)), Counter(grams(item.encode().split())))
+            if j >= 0.8:
+                want.add((d, k, 0, len(w), round(j, 9)))
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {(*r[:4], round(r.similarity, 9)) for r in got} == want and any(n < 40 for _, k, _, n, _ in want if k == 6)
