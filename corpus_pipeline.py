@@ -39,10 +39,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it (0 to 3 times)."""
-    taken = mixing.copies(docs).filter("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
-    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
+    """Repeat each row as often as the mix takes it (0 to 3 times), rows without an id or source too.
+
+    Rows are known by 128 hashed bits of all their columns; rows that agree in all
+    columns are alike, and together come as often as the mix takes them.
+    """
+    cells = [x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]
+    rows = docs.select(*COLUMNS).withColumns({"row1": F.xxhash64(F.lit(1), *cells), "row2": F.xxhash64(F.lit(2), *cells)})
+    taken = mixing.copies(rows, row=("row1", "row2")).groupBy("row1", "row2").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    once = rows.groupBy("row1", "row2").agg(F.first(F.struct(*COLUMNS)).alias("doc")).join(taken, ["row1", "row2"])
+    return once.select("doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

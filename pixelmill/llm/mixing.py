@@ -92,22 +92,23 @@ def _level(seed: int):
     return run
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of ``docs``.
+def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, row: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and the columns ``row`` for each row of ``docs``.
 
     Null text has size 0 and takes nothing; null sources form one source, the last
     by order; repeated rows are separate documents, told apart by their number
-    among rows of the same id and size, so that reruns agree. Empty tables give an
+    among rows of the same id and size, so that reruns agree; ``row`` names columns
+    that tell rows apart further and come out with them. Empty tables give an
     empty result; extra columns are ignored.
     """
-    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")))
+    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), *row))
     aims = cut(targets(sizes, weights, most))
     # One row a source: joined by sort-merge where it's large, since its size follows the data.
     rows = sizes.join(aims.withColumnRenamed("source", "aim"), F.col("source").eqNullSafe(F.col("aim"))).drop("aim")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(share + 1e-12)).withColumn("part", F.greatest(share - F.col("whole"), F.lit(0.0)))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).cast("bigint")
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"), *[F.col(c).cast("string") for c in row])
     rows = rows.withColumn("key", name).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), buckets)).drop("n")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", open boolean"
     largest = aims.agg(F.max("n").alias("n")).first()["n"] or 0
@@ -128,7 +129,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("part")).cast("bigint").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("part")).cast("bigint").alias("copies"), *row)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -352,3 +352,20 @@ def test_contamination_trimmed(spark):
                 want.add((d, k, 0, len(w), round(j, 9)))
     got = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
     assert {(*r[:4], round(r.similarity, 9)) for r in got} == want and any(n < 40 for _, k, _, n, _ in want if k == 6)
+
+
+def test_pipeline_mixing_rows(spark):
+    """Each row, with or without an id, comes as often as the mix takes it."""
+    import corpus_pipeline as C
+
+    rows = [(None, f"text {i} of none {'w ' * (i % 7)}", "en", "src0" if i % 3 else None, i) for i in range(60)]
+    rows += [(i // 2, f"text {i} with an id", None, ("src0", "src1", "src2")[i % 3], None) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.mix_sources(spark, df, D).collect()
+    counts = Counter(tuple(r) for r in got)
+    assert set(counts) <= set(rows) and max(counts.values()) <= 3 and sum(r.doc_id is None for r in got) > 0
+    per, aims = Counter(), {r.source: r.target for r in mixing.copies(df).collect()}
+    for r in got:
+        per[r.source] += len(r.text.split())
+    assert all(abs(per[s] - t) <= 11 for s, t in aims.items())
+    assert Counter(map(tuple, C.mix_sources(spark, df.repartition(5), D).collect())) == counts
