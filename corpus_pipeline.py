@@ -7,11 +7,14 @@ of documents.
 
 from __future__ import annotations
 
+import logging
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import decontaminate, mixing, near_dedup, token_files, toxicity
-from pixelmill.llm.common import cut, remove, table
+from pixelmill.llm.common import cut, scratch_dir, table
 from pixelmill.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,11 +55,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, and what they hold when read back."""
-    files = token_files.write_tokens(docs, vocabulary_path())
-    out = cut(token_files.read_tokens(spark, files))
-    remove(spark, files.path)
-    return out
+    """Token files of all documents, kept, and what they hold when read back.
+
+    They go to a folder of their own under spark.pixelmill.tokens.dir, or under the
+    shared scratch folder where it isn't set; the log names it.
+    """
+    base = spark.conf.get("spark.pixelmill.tokens.dir", None)
+    path = f"{base.rstrip('/')}/tokens-{uuid.uuid4().hex}" if base else f"{scratch_dir(spark)}-tokens"
+    files = token_files.write_tokens(docs, vocabulary_path(), path)
+    logging.getLogger(__name__).info("token files: %s", files.path)
+    return token_files.read_tokens(spark, files)
 
 
 STAGES = [

@@ -369,3 +369,20 @@ def test_pipeline_mixing_rows(spark):
         per[r.source] += len(r.text.split())
     assert all(abs(per[s] - t) <= 11 for s, t in aims.items())
     assert Counter(map(tuple, C.mix_sources(spark, df.repartition(5), D).collect())) == counts
+
+
+def test_pipeline_keeps_tokens(spark, docs, texts, tmp_path):
+    import json
+
+    import corpus_pipeline as C
+
+    spark.conf.set("spark.pixelmill.tokens.dir", str(tmp_path))
+    try:
+        report = C.write_token_files(spark, docs, D).collect()
+    finally:
+        spark.conf.unset("spark.pixelmill.tokens.dir")
+    (folder,) = tmp_path.iterdir()
+    listed = json.loads((folder / "shards.json").read_text())
+    assert sum(s[2] for s in listed["shards"]) == sum(r.n_tokens for r in report) and len(report) == len(texts)
+    for name, n_docs, n_ids, _ in listed["shards"]:
+        assert len(np.fromfile(folder / f"{name}.bin", listed["dtype"])) == n_ids and len(np.fromfile(folder / f"{name}.idx", "<u8")) == n_docs + 1
