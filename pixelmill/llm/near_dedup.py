@@ -5,8 +5,8 @@ T coordinates; bands of ROWS coordinates put nodes that may be similar into one
 bucket. In each round every bucket compares its members with one pivot, and only
 where they aren't yet in one component; later rounds take other pivots. Buckets
 that still hold several components then compare the pairs across components that
-neither the sketches nor an exact bound (shingles that a document shares with no
-other) rule out. So no bucket lists the pairs of what is already
+neither the sketches nor exact bounds (shingles that a document shares with no
+other; bits in which the maps of two sets differ) rule out. So no bucket lists the pairs of what is already
 linked, and no link between candidates is lost.
 """
 
@@ -30,6 +30,8 @@ PERCENT = 85
 PIVOT_ROUNDS = 3
 #: Deviations from the mean of differing bits beyond which a pair at the threshold may lie.
 DEVIATIONS = 6.5
+#: 64-bit words of a set's map, which has a bit for each value that hashes to it.
+MAP_WORDS = 8
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -86,12 +88,21 @@ def one_bit(sketches: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 16 - packed.shape[1])))).view("<i8")
 
 
+def maps(sets: list[np.ndarray]) -> np.ndarray:
+    """MAP_WORDS 64-bit integers a set; where two maps differ, one set has a shingle that the other has not."""
+    width = 64 * MAP_WORDS
+    bits = np.zeros((len(sets), width), dtype=np.uint8)
+    for row, s in zip(bits, sets, strict=True):
+        row[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view("<i8").reshape(len(sets), MAP_WORDS)
+
+
 def text_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text)))
 
 
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), s1, s2, bands for each row."""
+    """doc_id, n_shingles, digest (of the set), s1, s2, bands, map for each row."""
     band = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +115,10 @@ def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 n = pa.array([len(s) for s in sets], pa.int64())
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), n, digest, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), listed], names=["doc_id", "n_shingles", "digest", "s1", "s2", "bands"])
+                mapped = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * MAP_WORDS + 1, MAP_WORDS), pa.int32()), pa.array(maps(sets).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), n, digest, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), listed, mapped], names=["doc_id", "n_shingles", "digest", "s1", "s2", "bands", "map"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, s1 long, s2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, s1 long, s2 long, bands array<long>, map array<long>")
 
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -217,12 +229,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             left = now.join(per.select("key"), "key")
             left = left.join(_own_shingles(sets, left), "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
             left = left.filter(F.col("most") * 100 >= F.col("n") * percent).drop("own")
-            left = cut(left.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id"))
-            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp", "most", "bands")])
+            left = cut(left.join(nodes.select(F.col("doc_id").alias("id"), "bands", "map"), "id"))
+            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp", "most", "bands", "map")])
             most = F.least("most", "most_")
             able = (F.col("comp") < F.col("comp_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent)
             once = F.get(F.array_intersect("bands", "bands_"), F.lit(0)) == F.col("key")  # a pair comes from its first common bucket only
             able = able & _alike(F.col("n"), F.col("n_"), F.col("s1"), F.col("s1_"), F.col("s2"), F.col("s2_"), percent)
+            apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map_")[i])) for i in range(MAP_WORDS)), F.lit(0))
+            # Shingles of one set only, D, leave a similarity of (n + m - D) / (n + m + D) at most.
+            able = able & (apart * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent))
             far = left.join(right, "key").filter(able & once)
             pairs = far.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
         if tested is not None:

@@ -386,3 +386,16 @@ def test_pipeline_keeps_tokens(spark, docs, texts, tmp_path):
     assert sum(s[2] for s in listed["shards"]) == sum(r.n_tokens for r in report) and len(report) == len(texts)
     for name, n_docs, n_ids, _ in listed["shards"]:
         assert len(np.fromfile(folder / f"{name}.bin", listed["dtype"])) == n_ids and len(np.fromfile(folder / f"{name}.idx", "<u8")) == n_docs + 1
+
+
+def test_near_maps():
+    """The maps of two sets never differ in more bits than the sets have shingles apart."""
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**63, 4000).astype("<u8")
+    for n in (1, 30, 200, 1500):
+        for shared in (0, n // 2, n):
+            a, b = np.unique(pool[:n]), np.unique(pool[n - shared : 2 * n - shared])
+            x, y = near_dedup.maps([a, b])
+            apart = sum(int(v).bit_count() for v in (x ^ y).view("<u8"))
+            assert apart <= len(np.setxor1d(a, b)) and (n != 30 or shared == n or apart > 0.8 * len(np.setxor1d(a, b)))
+    assert near_dedup.maps([]).shape == (0, near_dedup.MAP_WORDS)
