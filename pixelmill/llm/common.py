@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,14 @@ _local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """A new path in the shared folder of spark.checkpoint.dir; in local mode only, a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _local.setdefault("dir", tempfile.mkdtemp(prefix="pixelmill-"))
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _local:
+            _local["dir"] = tempfile.mkdtemp(prefix="pixelmill-")
+        base = _local["dir"]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -42,6 +47,32 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """The scratch tables of one call: written, read back, and deleted when the call is done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        remove(self.spark, self.paths.pop(id(df))[0])
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write the call's result and delete all other tables."""
+        before = [path for path, _ in self.paths.values()]
+        out = cut(df)
+        for path in before:
+            remove(self.spark, path)
+        self.paths.clear()
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

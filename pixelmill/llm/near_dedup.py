@@ -1,13 +1,15 @@
 """MinHash near-dedup: fast similarity sketching, banding, exact verification, components.
 
 Texts with the same shingle set are one node from the start. A node's sketch has
-T coordinates; bands of ROWS coordinates put nodes that may be similar into one
-bucket. In each round every bucket compares its members with one pivot, and only
-where they aren't yet in one component; later rounds take other pivots. Buckets
-that still hold several components then compare the pairs across components that
-neither the sketches nor exact bounds (shingles that a document shares with no
-other; bits in which the maps of two sets differ) rule out. So no bucket lists the pairs of what is already
-linked, and no link between candidates is lost.
+T coordinates; bands of coordinates put nodes that may be similar into one bucket.
+Two pivot rounds verify one pair a node against a pivot of one of its buckets and
+contract what links. Buckets that still hold several components are then settled
+exactly: a small one by its pairs across components, a large one by the prefixes of
+its members' sets (two sets that reach the similarity share one of their rarest
+shingles), so that no bucket lists the pairs of what is linked or of what shares
+only frequent shingles. Pairs are left out before verification by exact bounds only
+(sizes; bits in which the maps of two sets differ), so no link between candidates is
+lost.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import cut, mix, shingle_hashes, utf8, word_hashes
+from pixelmill.llm.common import Scratch, mix, shingle_hashes, utf8, word_hashes
 
 #: Coordinates, and the chance with which a pair at the threshold may share no band.
 T, MISS = 120, 1e-6
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 85
-PIVOT_ROUNDS = 3
-#: Deviations from the mean of differing bits beyond which a pair at the threshold may lie.
-DEVIATIONS = 6.5
-#: 64-bit words of a set's map, which has a bit for each value that hashes to it.
-MAP_WORDS = 8
+#: 64-bit words of a set's map: a bit is on where an odd number of the set's values hash to it.
+MAP_WORDS = 16
+#: Parts into which a group's rows are dealt by id; at most 63, the parts that a group has are bits of one long.
+SALTS = 60
+#: Members of a bucket up to which its pairs across components are looked at one by one.
+SMALL = 24
+#: Members of a prefix shingle's group that meet in one block of its pairs.
+BLOCK = 200
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -42,12 +47,6 @@ def band_rows(percent: int) -> int:
     return max((r for r in range(1, T + 1) if T % r == 0 and (1 - p**r) ** (T // r) <= MISS), default=1)
 
 
-def most_bits(percent: int) -> int:
-    """One bit of each coordinate is kept for comparing; a pair at the threshold differs in (1 - p) / 2 of them (85: 9 of 120, at most 28; 80: 12, at most 34)."""
-    q = (1 - percent / 100) / 2
-    return math.ceil(T * q + DEVIATIONS * math.sqrt(T * q * (1 - q)))
-
-
 def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     """Fast similarity sketches, one row a set of distinct 64-bit hashes.
 
@@ -81,19 +80,12 @@ def bands(sketches: np.ndarray, rows: int) -> np.ndarray:
     return key.view("<i8")
 
 
-def one_bit(sketches: np.ndarray) -> np.ndarray:
-    """Two 64-bit integers a row with one bit of each coordinate."""
-    bits = (mix(sketches ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(1)).astype(np.uint8)
-    packed = np.packbits(bits, axis=1)
-    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 16 - packed.shape[1])))).view("<i8")
-
-
 def maps(sets: list[np.ndarray]) -> np.ndarray:
-    """MAP_WORDS 64-bit integers a set; where two maps differ, one set has a shingle that the other has not."""
+    """MAP_WORDS 64-bit integers a set; two maps differ in at most as many bits as there are shingles of one set only."""
     width = 64 * MAP_WORDS
     bits = np.zeros((len(sets), width), dtype=np.uint8)
     for row, s in zip(bits, sets, strict=True):
-        row[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+        row[:] = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits, axis=1).view("<i8").reshape(len(sets), MAP_WORDS)
 
 
@@ -101,8 +93,13 @@ def text_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text)))
 
 
+def prefix(n: int, percent: int) -> int:
+    """How many of a set's n rarest shingles hold one of any set that reaches the similarity with it."""
+    return n - -(-percent * n // 100) + 1
+
+
 def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), s1, s2, bands, map for each row."""
+    """doc_id, n_shingles, digest (of the set), bands, map for each row."""
     band = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,42 +107,40 @@ def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = [text_set(t) for t in part.column(1).to_pylist()]
-                sk = sketch(sets)
-                keys, bits = bands(sk, band), one_bit(sk)
+                keys = bands(sketch(sets), band)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
                 mapped = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * MAP_WORDS + 1, MAP_WORDS), pa.int32()), pa.array(maps(sets).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), n, digest, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), listed, mapped], names=["doc_id", "n_shingles", "digest", "s1", "s2", "bands", "map"])
+                yield pa.RecordBatch.from_arrays([part.column(0), n, digest, listed, mapped], names=["doc_id", "n_shingles", "digest", "bands", "map"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, s1 long, s2 long, bands array<long>, map array<long>")
+    return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, map array<long>")
 
 
-def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and sorted shingle hashes (bytes) of the documents in ``ids``."""
+def _set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, v, set (sorted shingle hashes as bytes) of the nodes (node, v, digest); v tells apart the texts of an id that repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "set"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
-    return rows.mapInArrow(run, "id long, set binary")
+                sets = [text_set(t) for t in part.column(1).to_pylist()]
+                digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), digest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "digest", "set"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("text")).join(nodes.select("node").distinct(), "node", "left_semi")
+    made = rows.mapInArrow(run, "node long, digest binary, set binary").join(nodes.select("node", "v", "digest"), ["node", "digest"])
+    return made.groupBy("node", "v").agg(F.first("set").alias("set"))  # an id that repeats with one text
 
-def _own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, own: shingles that no other document among ``ids`` has; the rest bounds any intersection exactly."""
 
+def _shingle_rows(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(x, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(v)], names=["id", "shingle"])
+            for k, v, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s = np.frombuffer(x, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k)), pa.array(np.full(len(s), v)), pa.array(s)], names=["node", "v", "shingle"])
 
-    rows = sets.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, shingle long")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return once.groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("node", "v", "set").mapInArrow(run, "node long, v long, shingle long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,97 +155,145 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, comp (least id reachable) of the nodes of an edge list a, b: large and small stars in turn, until a turn changes nothing."""
 
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        out = scratch.cut(df.distinct())
+        return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, comp (least id reachable) of the nodes of an edge list a, b: large and small stars in turn."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(now)
+    now, state = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct())
-        new = _state(now)
+        before, (now, new) = now, kept(small.filter("a <> b"))
+        scratch.drop(before)
         if new == state:
             break
         state = new
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
 
 
-def _alike(n: Column, m: Column, s1: Column, p1: Column, s2: Column, p2: Column, percent: int) -> Column:
-    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    return sizes & (F.bit_count(s1.bitwiseXOR(p1)) + F.bit_count(s2.bitwiseXOR(p2)) <= most_bits(percent))
+def _able(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles with maps x and y may reach the similarity: exact bounds, no estimate.
+
+    D shingles of one set only leave a similarity of (n + m - D) / (n + m + D) at most.
+    """
+    apart = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(MAP_WORDS)), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(7)), F.lit(SALTS)).cast("int")
+
+
+def _salts() -> Column:
+    """The salts that a group has, as bits."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def _each_salt() -> Column:
+    return F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (salts & shiftleft(1L, s)) <> 0)")).alias("salt")
+
+
+def _pivot_pairs(rows: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """a, b: for each node one pair at most, with a pivot of its buckets that has another label.
+
+    ``rows`` has key, node, label, salt. A bucket's members find its pivot by salt, so
+    that a hot bucket meets in many tasks.
+    """
+    order = F.lit(0) if turn == 0 else F.xxhash64("label", F.lit(turn))
+    part = rows.groupBy("key", "salt").agg(F.min(F.struct(order.alias("o"), "label", "node")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    whole = part.groupBy("key").agg(F.min("p").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), _salts()).filter("lo <> hi")
+    whole = whole.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("to"), _each_salt())
+    asked = rows.join(whole, ["key", "salt"]).filter(F.col("label") != F.col("to")).groupBy("node", "pivot").agg(F.count("*").alias("shared"))
+    asked = asked.join(nodes.select("node", "n", "map"), "node").join(nodes.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("map").alias("other")), "pivot")
+    asked = asked.filter(_able(F.col("n"), F.col("m"), F.col("map"), F.col("other"), percent))
+    best = asked.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("x"))
+    return best.select(F.col("node").alias("a"), F.col("x.pivot").alias("b"))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """a, b of the pairs that meet on ``on`` across components and may reach the similarity; both have node, n, map, comp."""
+    other = right.select(*on, *[F.col(c).alias(f"{c}_") for c in ("node", "n", "map", "comp")])
+    able = (F.col("comp") < F.col("comp_")) & _able(F.col("n"), F.col("n_"), F.col("map"), F.col("map_"), percent)
+    return left.join(other, on).filter(able).select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b"))
+
+
+def _by_prefix(large: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs across components among the nodes of ``large`` (node, v, n, map, comp) that may reach the similarity.
+
+    Shingles are ordered by the number of these nodes that have them, the rarest first;
+    what only one has fills the head of a set's prefix. A shingle that stands in many
+    prefixes deals its pairs into blocks.
+    """
+    rows = _shingle_rows(sets.join(large.select("node"), "node", "left_semi"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    known = rows.join(often, "shingle").groupBy("node", "v").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    head = F.expr(f"n - cast(ceil({percent} * n / 100) as bigint) + 1 - (n - size(all))")  # prefix(), without what only this set has
+    known = known.join(large, ["node", "v"]).withColumn("head", head.cast("int")).filter("head > 0")
+    heads = scratch.cut(known.select("node", "n", "map", "comp", F.explode(F.expr("slice(all, 1, head).shingle")).alias("shingle")))
+    group = heads.groupBy("shingle").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    heads = heads.join(group.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "shingle")
+    left = heads.withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
+    right = heads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _met(left, right, ["shingle", "block"], percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Documents link where 100 * intersection >= percent * union of their shingle
-    sets; texts without words (null, empty) link with nothing. Rows that repeat an
-    id are one document of the graph; rows without an id link with nothing, get a
-    null component and are kept. Extra columns are ignored.
+    sets; texts without words (null, empty) link with nothing. A text belongs to the
+    least id that has it, so rows that repeat an id and are the least with their texts
+    are in one group. Rows without an id link with nothing, get a null component and
+    are kept. Extra columns are ignored; an empty table gives an empty result. The
+    result stands in a table of its own in the scratch folder; all others are deleted.
     """
-    made = cut(describe(docs, percent))
-    real = made.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    same = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"))
-    same = cut(same)
-    nodes = real.join(same.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    rows = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2").distinct()
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    members = cut(rows.join(shared, "key"))
-    sets = cut(_set_table(docs, members))
-    edges: DataFrame | None = None
-    tested: DataFrame | None = None
-    comp: DataFrame | None = None
-    for r in range(PIVOT_ROUNDS + 1):
-        now = members
-        if comp is not None:
-            now = now.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        else:
-            now = now.withColumn("comp", F.col("id"))
-        order = F.lit(0) if r == 0 else F.xxhash64("id", F.lit(r))
-        per = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "s1", "s2", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        per = per.filter("lo <> hi").select("key", "p")
-        if r < PIVOT_ROUNDS:
-            other = now.join(per, "key").filter(F.col("comp") != F.col("p.comp"))
-            other = other.filter(_alike(F.col("n"), F.col("p.n"), F.col("s1"), F.col("p.s1"), F.col("s2"), F.col("p.s2"), percent))
-            pairs = other.select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b"), "id", F.col("p.id").alias("pivot")).distinct()
-        else:
-            left = now.join(per.select("key"), "key")
-            left = left.join(_own_shingles(sets, left), "id", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-            left = left.filter(F.col("most") * 100 >= F.col("n") * percent).drop("own")
-            left = cut(left.join(nodes.select(F.col("doc_id").alias("id"), "bands", "map"), "id"))
-            right = left.select("key", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "s1", "s2", "comp", "most", "bands", "map")])
-            most = F.least("most", "most_")
-            able = (F.col("comp") < F.col("comp_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent)
-            once = F.get(F.array_intersect("bands", "bands_"), F.lit(0)) == F.col("key")  # a pair comes from its first common bucket only
-            able = able & _alike(F.col("n"), F.col("n_"), F.col("s1"), F.col("s1_"), F.col("s2"), F.col("s2_"), percent)
-            apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map_")[i])) for i in range(MAP_WORDS)), F.lit(0))
-            # Shingles of one set only, D, leave a similarity of (n + m - D) / (n + m + D) at most.
-            able = able & (apart * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent))
-            far = left.join(right, "key").filter(able & once)
-            pairs = far.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if r < PIVOT_ROUNDS:  # one pivot a node and round; the others wait
-            pairs = pairs.groupBy("id").agg(F.min(F.struct("pivot", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        pairs = cut(pairs)
-        new = cut(_linked(pairs, sets, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        comp = cut(components(edges))
-    groups = same.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
-    linked = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest"))
-    out = linked.join(groups, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.cut(describe(docs, percent))
+    real = made.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumn("salt", _salt("doc_id"))
+    same = real.groupBy("digest", "salt").agg(F.min("doc_id").alias("node")).groupBy("digest").agg(F.min("node").alias("node"), _salts())
+    same = scratch.cut(same)
+    firsts = real.join(same.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    firsts = firsts.select(F.col("doc_id").alias("node"), F.crc32("digest").alias("v"), "digest", F.col("n_shingles").alias("n"), "bands", "map")
+    rows = firsts.select(F.explode("bands").alias("key"), "node", _salt("node").alias("salt")).distinct()
+    shared = rows.groupBy("key", "salt").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("members"), _salts()).filter("members > 1")
+    members = scratch.cut(rows.join(shared.select("key", "members", _each_salt()), ["key", "salt"]))
+    nodes = scratch.cut(firsts.drop("bands").join(members.select("node").distinct(), "node", "left_semi"))
+    sets = scratch.cut(_set_table(docs, nodes))
+
+    label = members.withColumn("label", F.col("node"))
+    one = scratch.cut(_linked(scratch.cut(_pivot_pairs(label, nodes, percent, 0)), sets, percent))
+    label = members.join(one.select(F.col("a").alias("node"), F.col("b").alias("to")).distinct(), "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
+    label = scratch.cut(label)
+    two = scratch.cut(_linked(scratch.cut(_pivot_pairs(label, nodes, percent, 1)), sets, percent))
+    scratch.drop(label)
+    comp = scratch.cut(components(one.unionByName(two), scratch).withColumnRenamed("id", "node"))
+
+    nodes = nodes.join(comp, "node", "left").select("node", "v", "n", "map", F.coalesce("comp", "node").alias("comp"))
+    tied = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ends = tied.groupBy("key", "salt").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), _salts())
+    ends = ends.filter("lo <> hi").select("key", _each_salt())
+    unsettled = scratch.cut(members.join(ends, ["key", "salt"]).select("key", "node", "members"))
+    small = unsettled.filter(F.col("members") <= SMALL).select("key", "node").join(nodes, "node")
+    large = scratch.cut(unsettled.filter(F.col("members") > SMALL).select("node").distinct().join(nodes, "node"))
+    far = _met(small, small, ["key"], percent).unionByName(_by_prefix(large, sets, percent, scratch)).distinct()
+    three = scratch.cut(_linked(scratch.cut(far), sets, percent))
+
+    # The links of the last step join whole components: what is left is their graph.
+    ends = comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), comp.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+    left = three.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    last = components(left, scratch).select(F.col("id").alias("comp"), F.col("comp").alias("least"))
+    groups = same.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(last, "comp", "left")
+    groups = groups.select("digest", F.coalesce("least", "comp").alias("component_id"), _each_salt())
+    linked = real.select("doc_id", "n_shingles", "digest", "salt").join(groups, ["digest", "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = made.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return scratch.finish(linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

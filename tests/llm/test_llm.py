@@ -105,6 +105,45 @@ def test_near_chains(spark):
     assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_near_form_letters(spark, monkeypatch):
+    """Buckets of many texts that share a template but don't link, with some linked pairs among them: found by prefixes, few pairs looked at."""
+    r = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for k in range(400):
+        own = [f"o{k}x{i}" for i in range(40)]
+        if k % 10 == 9:  # like the one before, with one word changed
+            own = [f"o{k - 1}x{i}" for i in range(40)]
+            own[int(r.integers(0, 40))] = f"y{k}"
+        rows.append((k, " ".join([*template[:60], *own, *template[60:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components({d: shingles(t) for d, t in rows}, 80)
+    assert sum(want[d] != d for d in want) == 40
+    looked = []
+    linked = near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, *a: looked.append(pairs.count()) or linked(pairs, *a))
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df, 80).collect()} == want
+    assert sum(looked) < 1_000
+
+
+def test_near_hot_texts(spark):
+    """A third of all rows of one text, a third empty, ids that repeat; the scratch folder keeps the result's table only."""
+    import os
+
+    from pixelmill.llm.common import scratch_dir
+
+    rows = [(k, "same words over and over again here") for k in range(100)] + [(1000 + k, "  " if k % 2 else None) for k in range(100)]
+    rows += [(5000, "a b c d e f"), (5000, "x y z u v w"), (5000, "a b c d e f"), (5001, "x y z u v w"), (None, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = os.path.dirname(scratch_dir(spark))
+    before = set(os.listdir(folder))
+    got = near_dedup.near_duplicates(df)
+    assert len(set(os.listdir(folder)) - before) == 1
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(rows) and Counter(got)[(5000, 2, 5000, True)] == 3 and (5001, 2, 5000, False) in got and (None, 2, None, True) in got
+    assert sum(r[2] == 0 for r in got) == 100 and all(r[2] == r[0] and r[3] for r in got if r[0] and 1000 <= r[0] < 2000)
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 3000).astype("<u8")
@@ -315,7 +354,7 @@ def test_pipeline_near_threshold(spark):
     for percent in (80, 85, 90):
         rows_, p = near_dedup.band_rows(percent), percent / 100
         assert (1 - p**rows_) ** (near_dedup.T // rows_) <= 1e-6
-    assert (near_dedup.band_rows(85), near_dedup.most_bits(85), near_dedup.band_rows(80), near_dedup.most_bits(80)) == (5, 28, 4, 34)
+    assert (near_dedup.band_rows(85), near_dedup.band_rows(80)) == (5, 4)
 
 
 def test_toxicity_own_words():
@@ -397,5 +436,5 @@ def test_near_maps():
             a, b = np.unique(pool[:n]), np.unique(pool[n - shared : 2 * n - shared])
             x, y = near_dedup.maps([a, b])
             apart = sum(int(v).bit_count() for v in (x ^ y).view("<u8"))
-            assert apart <= len(np.setxor1d(a, b)) and (n != 30 or shared == n or apart > 0.8 * len(np.setxor1d(a, b)))
+            assert apart <= len(np.setxor1d(a, b)) and (n > 200 or shared == n or apart > 0.6 * len(np.setxor1d(a, b)))
     assert near_dedup.maps([]).shape == (0, near_dedup.MAP_WORDS)
