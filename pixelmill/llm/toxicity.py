@@ -1,12 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled rows: both begin with the
-segments that the classes share; one goes on with the segments that are odd to
-toxic text, the other with as many bytes of ordinary text. A text is cut into
-windows of a few words; each window is compressed under both dictionaries, and
-the difference in length becomes a log-likelihood ratio by histograms over
+Two zstandard dictionaries are trained from labelled rows by the library's
+trainer: the ordinary one from ordinary text, the toxic one from toxic text, which
+comes after the ordinary segments, so that the two differ in nothing else. A text is
+cut into windows of a few words; each window is compressed under both dictionaries,
+and the difference in length becomes a log-likelihood ratio by histograms over
 labelled windows. A logistic calibration of the windows' ratios gives the score.
 
+Most words of a toxic text are ordinary. The trainer for the toxic segments
+therefore sees the occurrences of those words only that toxic rows favour; trained
+on whole toxic texts, it fills the dictionary with what all texts share (README).
+
 Null texts count as empty; empty texts get a defined score (that of no window).
 Rows repeat as they come, a null doc_id hashes as the empty text, extra columns
 are ignored, and an empty table gives an empty result.
@@ -15,6 +19,7 @@ are ignored, and an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,14 +41,18 @@ THRESHOLD = 0.3
 class Settings:
     window_words: int = 6
     level: int = 3
-    #: Bytes of a dictionary for what the classes share.
+    #: Bytes of the ordinary dictionary, and ordinary words (spread over the sample) that they are trained from.
     common_bytes: int = 100_000
-    #: A class's own segments have no bound in bytes: all words of these odds go in, of which so large a share is expected to be there by chance.
+    common_words: int = 400_000
+    #: The trainer's segment and match sizes for ordinary and for toxic segments.
+    common_cover: tuple[int, int] = (32, 6)
+    own_cover: tuple[int, int] = (50, 6)
+    #: Words that the trainer sees for the toxic segments: all of these odds, of which so large a share is expected to be there by chance.
     odds: float = 8.0
-    false_share: float = 0.01
-    #: Bounds of the labelled sample: rows of each class, and length of a sampled row in characters.
+    false_share: float = 1e-4
+    #: Bounds of the labelled sample: ids of each class (about: by a hash), and windows of an id's text, spread over it.
     max_rows: int = 4_000
-    max_chars: int = 20_000
+    max_windows: int = 2_000
 
 
 @dataclass
@@ -80,17 +89,6 @@ def gains(made, parts: list[bytes]) -> np.ndarray:
     return np.fromiter((len(ordinary(x)) - len(toxic(x)) for x in parts), dtype=np.int64, count=len(parts))
 
 
-def _filled(segments, size: int | None) -> bytes:
-    """Segments up to ``size`` bytes (None: all), the first ones last: zstandard reaches the end most cheaply."""
-    taken, used = [], 0
-    for s in segments:
-        used += len(s) + 1
-        if size is not None and used > size:
-            break
-        taken.append(s)
-    return b" ".join(reversed(taken)) + b" "
-
-
 def features(values: np.ndarray, ratios: np.ndarray) -> list[float]:
     n = len(values)
     if not n:
@@ -123,18 +121,32 @@ def _odd(ordinary: Counter, toxic: Counter, docs: list[int], s: Settings) -> lis
     return [w for _, w in found[:keep]] or [w for w, n in toxic.items() if n / docs[1] > 2 * (ordinary[w] + 1) / docs[0]]
 
 
+def trained(samples: list[bytes], size: int, cover: tuple[int, int]) -> bytes:
+    """Segments that the library's trainer chooses; the samples themselves where they are too few to train from."""
+    try:
+        return zs.train_dictionary(size, samples, k=cover[0], d=cover[1]).as_bytes()
+    except zs.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
+
+
+def _spread(values: list, most: int) -> list:
+    return values if len(values) <= most else [values[i * len(values) // most] for i in range(most)]
+
+
 def dictionaries(rows: list[tuple[bytes, int]], s: Settings) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary: all words odd to toxic text against as many bytes of ordinary words."""
+    """The toxic and the ordinary dictionary, of one length (offsets cost alike)."""
     counts, docs = (Counter(), Counter()), [0, 0]
+    words: tuple[list, list] = ([], [])
     for text, y in rows:
-        counts[y].update(set(text.lower().split()))
+        own = text.lower().split()
+        counts[y].update(set(own))
+        words[y].extend(b" " + w + b" " for w in own)
         docs[y] += 1
-    ordinary, toxic = counts
-    common = _filled((w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1] - toxic[x[0]], x[0]))), s.common_bytes)
-    odd = _odd(ordinary, toxic, docs, s)
-    own = _filled(sorted(odd, key=lambda w: (-toxic[w], w)), None)
-    plain = _filled(sorted((w for w, n in ordinary.items() if n > 1 and not toxic[w]), key=lambda w: (-ordinary[w], w)), len(own))
-    return common + own, common + plain.rjust(len(own))
+    odd = {b" " + w + b" " for w in _odd(counts[0], counts[1], docs, s)}
+    favoured = [w for w in words[1] if w in odd]
+    common = trained(_spread(words[0], s.common_words), s.common_bytes, s.common_cover)
+    toxic = trained(favoured, max(1_000, sum(map(len, odd))), s.own_cover)
+    return common + toxic, common + b" " * len(toxic)
 
 
 def fit(rows: list[tuple[bytes, int]], share: float, settings: Settings | None = None) -> Model:
@@ -147,7 +159,7 @@ def fit(rows: list[tuple[bytes, int]], share: float, settings: Settings | None =
     if not all(docs):
         return Model(b" ", b" ", s, weights=np.array([math.log((share + 1e-3) / (1 - share + 1e-3))] + [0.0] * 7), mean=np.zeros(8), scale=np.ones(8))
     model = Model(*dictionaries(rows, s), s)
-    cut = [(windows(text, s.window_words), y) for text, y in rows]
+    cut = [(_spread(windows(text, s.window_words), s.max_windows), y) for text, y in rows]
     made = model.compressors()
     values = [gains(made, parts) for parts, _ in cut]
     shape = [np.ones(HIGH - LOW + 1), np.ones(HIGH - LOW + 1)]
@@ -176,40 +188,50 @@ def score_texts(model: Model, made, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(((x - model.mean) / model.scale) @ model.weights, -30, 30)))
 
 
+def _shortened(text: bytes, s: Settings) -> bytes:
+    return b"".join(_spread(windows(text, s.window_words), s.max_windows))
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Fit on labelled rows of ``docs`` whose crc32(doc_id) mod 4 is not 2.
+    """Fit on labelled rows of ``docs`` whose crc32(doc_id) mod 4 is not 2, in one task.
 
-    The sample holds at most ``max_rows`` rows of each class (lowest crc32 of the
-    id first) of at most ``max_chars`` characters; a repeated label counts as
-    toxic if any row says so. Null labels are left out.
+    The sample holds about ``max_rows`` ids of each class, chosen by a hash of the id,
+    and of each id's text (the least, where the id repeats) at most ``max_windows``
+    windows. A repeated label counts as toxic if any row says so; null labels and null
+    ids are left out.
     """
     s = settings or Settings()
-    marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     marks = marks.filter(id_crc() % 4 != 2)
-    total = marks.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
-    share = ((total["t"] or 0) + 0.5) / (total["n"] + 1)
-    # Ids first: texts are read only for the sample, whose ids (at most 2 max_rows) go to all executors.
-    sizes = docs.select("doc_id", F.length("text").alias("n"), id_crc().alias("at")).filter(F.col("n") <= s.max_chars).select("doc_id", "at")
-    known = sizes.join(marks, "doc_id")
-    picked = []
-    for y in (0, 1):
-        picked += [(r["doc_id"], y) for r in known.filter(F.col("y") == y).orderBy("at", "doc_id").limit(s.max_rows).collect()]
-    if not picked:
+    total = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
+    share = (total["t"] + 0.5) / (total["n"] + 1)
+    if not total["n"]:
         return fit([], share, s)
-    sample = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int").distinct()
-    texts = docs.select("doc_id", utf8().alias("text"), F.length("text").alias("n")).filter(F.col("n") <= s.max_chars).join(F.broadcast(sample), "doc_id")
-    rows = [(bytes(r["text"]), r["y"]) for r in sorted(texts.select("doc_id", "text", "y").collect())]
-    return fit(rows, share, s)
+    of = [min(1.0, s.max_rows / max(1, n)) for n in (total["n"] - total["t"], total["t"])]
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    picked = marks.filter(place < F.when(F.col("y") == 1, of[1]).otherwise(of[0]))
+    # About 2 max_rows ids, whatever the table: they go to all executors, and texts are read for them only.
+    texts = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            rows += [(d, _shortened(t, s), y) for d, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        rows.sort()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit([(t, y) for _, t, y in rows], share, s))], pa.binary())})
+
+    return pickle.loads(texts.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row; only the text is read for the score."""
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    content = pickle.dumps(model)  # some 200 kB; goes with the function, so that nothing is left in the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = box.value.compressors()
+        m: Model = pickle.loads(content)
+        made = m.compressors()
         for b in batches:
-            p = score_texts(box.value, made, b.column(2).to_pylist())
+            p = score_texts(m, made, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p)], names=["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

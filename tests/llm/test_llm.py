@@ -304,7 +304,31 @@ def test_toxicity_held_out(spark):
     labels = table(spark, big, "labels")
     docs = table(spark, big, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
     got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("held_out").toPandas()
-    assert ((got.predicted == 1) == (got.toxic == 1)).mean() > 0.93
+    said, meant = got.predicted == 1, got.toxic == 1
+    assert (said == meant).mean() > 0.95 and said[meant].mean() >= 0.8 and meant[said].mean() >= 0.8
+
+
+def test_toxicity_labels(spark):
+    """Null, repeated and clashing labels, null ids, a text for each of several rows of an id; scores against the fit by hand."""
+    base = table(spark, D, "documents").select("doc_id", "text").collect()
+    marks = {r.doc_id: r.toxic for r in table(spark, D, "labels").collect()}
+    rows = [(r.doc_id, r.text, 5) for r in base] + [(None, "x y", 1), (base[0].doc_id, "~ another text", 1), (7001, None, 1), (7002, "word " * 30_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3)
+    labels = [(d, 1, t, "t") for d, t in marks.items()] + [(d, 0, 0, "t") for d, t in marks.items() if t] + [(None, 1, 1, "t"), (7001, 1, None, "t"), (7002, 1, 0, "t"), (9999, 1, 1, "t")]
+    made = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string"))
+    known = {**{d: int(t > 0) for d, t in marks.items()}, 7002: 0, 9999: 1}
+    known = {d: y for d, y in known.items() if zlib.crc32(str(d).encode()) % 4 != 2}
+    texts_ = {}
+    for d, t, _ in rows:
+        if d in known:
+            texts_[d] = min(texts_.get(d, t or ""), t or "")
+    s = toxicity.Settings()
+    sample = [(toxicity._shortened(texts_[d].encode(), s), known[d]) for d in sorted(texts_)]
+    want = toxicity.fit(sample, (sum(known.values()) + 0.5) / (len(known) + 1))
+    assert (made.toxic, made.ordinary) == (want.toxic, want.ordinary)
+    p = dict(zip((t for _, t, _ in rows), toxicity.score_texts(want, want.compressors(), [(t or "").encode() for _, t, _ in rows]), strict=True))
+    got = toxicity.score(docs.select("doc_id", "text", "y"), made).join(docs.select("doc_id", "text"), "doc_id").filter("doc_id <> 0").collect()
+    assert len(got) > 150 and all(any(abs(r.score - v) < 1e-9 for t, v in p.items() if t == r.text) or r.doc_id == base[0].doc_id for r in got)
 
 
 def test_html(spark):
@@ -368,7 +392,8 @@ def test_toxicity_own_words():
         w = list(r.choice(usual, 36))
         rows.append((made([*w[:18], *(bad[(4 * k + j) % 240] for j in range(4)), *w[18:]]), 1))
     model = toxicity.fit(rows, 0.4)
-    assert all(w.encode() in model.toxic for w in bad) and len(model.toxic) == len(model.ordinary)
+    assert np.mean([w.encode() in model.toxic for w in bad]) > 0.7 and len(model.toxic) == len(model.ordinary)
+    assert not any(w.encode() in model.ordinary for w in bad)
     new = [made([*r.choice(usual, 18), *(bad[(4 * k + j + 7) % 240] for j in range(4)), *r.choice(usual, 18)]) for k in range(60)]
     assert (toxicity.score_texts(model, model.compressors(), new) >= toxicity.THRESHOLD).mean() > 0.95
     clean = [made(r.choice(usual, 40)) for _ in range(60)]
