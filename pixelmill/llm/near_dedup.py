@@ -118,19 +118,21 @@ def describe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, v, set (sorted shingle hashes as bytes) of the nodes (node, v, digest); v tells apart the texts of an id that repeats."""
+    """node, v, set (sorted shingle hashes as bytes) of the nodes (node, v, digest); v tells apart the texts of an id that repeats.
+
+    A row that repeats comes as often; the digest leaves out an id's other texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [text_set(t) for t in part.column(1).to_pylist()]
-                digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), digest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "digest", "set"])
+                sets = [text_set(t).tobytes() for t in part.column(3).to_pylist()]
+                own = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["node", "v", "set"]).filter(pa.array(own, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("text")).join(nodes.select("node").distinct(), "node", "left_semi")
-    made = rows.mapInArrow(run, "node long, digest binary, set binary").join(nodes.select("node", "v", "digest"), ["node", "digest"])
-    return made.groupBy("node", "v").agg(F.first("set").alias("set"))  # an id that repeats with one text
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("text")).join(nodes.select("node", "v", "digest"), "node")
+    return rows.select("node", "v", "digest", "text").mapInArrow(run, "node long, v long, set binary")
 
 
 def _shingle_rows(sets: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def _by_prefix(large: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     what only one has fills the head of a set's prefix. A shingle that stands in many
     prefixes deals its pairs into blocks.
     """
-    rows = _shingle_rows(sets.join(large.select("node"), "node", "left_semi"))
+    rows = _shingle_rows(sets.join(large.select("node"), "node", "left_semi").dropDuplicates(["node", "v"]))
     often = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     known = rows.join(often, "shingle").groupBy("node", "v").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
     head = F.expr(f"n - cast(ceil({percent} * n / 100) as bigint) + 1 - (n - size(all))")  # prefix(), without what only this set has
@@ -264,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = scratch.cut(same)
     firsts = real.join(same.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     firsts = firsts.select(F.col("doc_id").alias("node"), F.crc32("digest").alias("v"), "digest", F.col("n_shingles").alias("n"), "bands", "map")
-    rows = firsts.select(F.explode("bands").alias("key"), "node", _salt("node").alias("salt")).distinct()
+    rows = firsts.select(F.explode("bands").alias("key"), "node", _salt("node").alias("salt"))
     shared = rows.groupBy("key", "salt").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("members"), _salts()).filter("members > 1")
     members = scratch.cut(rows.join(shared.select("key", "members", _each_salt()), ["key", "salt"]))
     nodes = scratch.cut(firsts.drop("bands").join(members.select("node").distinct(), "node", "left_semi"))
