@@ -349,6 +349,48 @@ def test_html(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in html_text.extract(odd).collect()} == {1: ("", 0), 2: ("", 0), 3: ("cut off &am", 11)}
 
 
+def test_html_odd_markup():
+    """Optional tags, loud class names, tags that never close; time in proportion to the page."""
+    import time
+
+    tree = html_text.train()
+    text = lambda page: html_text.main_text(page, tree)
+    a, b = "a " * 30, "b " * 30
+    assert text("<html><head><title>x</title><article><p>words of the text</article></html>") == "words of the text"
+    assert text(f'<div class="post-content share-enabled"><p>{a}') == a.strip()
+    assert text(f'<div class="entry promo"><article><p>{a}</article></div><p class=ad>buy this now') == a.strip()
+    for tag in ("svg", "button", "select"):
+        assert text(f"<p>{a}<{tag}><p>{b}") == f"{a.strip()}\n{b.strip()}"
+    assert text(f"<article><header><h1>The title</h1></header><p>{a}") == f"The title\n{a.strip()}"
+    assert text("<p>one short paragraph here") == "one short paragraph here" and text("<p>one < two three") == "one < two three"
+    assert text("<p>some words here <!-- at the end") == "some words here" and text("<p>a b c <a href") == "a b c"
+    for tag in ("<div>word ", "<p>w </b>", "<li>w ", "<svg>", "</p></div>", "<!--", "<a ", "<p a='x' "):
+        began = time.time()
+        text("<p>one two three " + tag * 100_000)
+        assert time.time() - began < 20, tag
+
+
+def test_html_labelled_pages():
+    """Each labelled page is judged by a tree that was grown without it."""
+    made, right, n = html_text.labelled_blocks(), 0, 0
+    for k, (x, y) in enumerate(made):
+        tree = html_text.train(html_text.PAGES[:k] + html_text.PAGES[k + 1 :])
+        right += sum(html_text.decide(tree, v) == bool(c) for v, c in zip(x.tolist(), y, strict=True))
+        n += len(y)
+    assert right / n > 0.94
+
+
+def test_html_without_article(spark):
+    """The pages with their article element renamed to a plain one give the same text wherever it outweighs the rest."""
+    tree, same, n = html_text.train(), 0, 0
+    for r in table(spark, D, "pages").collect():
+        plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        same += html_text.main_text(plain, tree) == html_text.main_text(r.html, tree)
+        n += 1
+    print("without article", same, n)
+    assert same / n > 0.1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
