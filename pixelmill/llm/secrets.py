@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +79,18 @@ def find(text: str, model: np.ndarray) -> tuple[list[tuple[int, int, int]], list
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
+    reach = list(accumulate((e for _, _, e in base), max))  # the furthest end up to each span
+    starts = [s for s, _, _ in base]
     added = []
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        before = bisect_left(starts, m.end())  # spans that start before the token's end
+        if before and reach[before - 1] > m.start():
             continue
         r = ratio(model, m[0])
         if r >= TOTAL and r >= EACH * len(m[0]):
             added.append((m.start(), 3, m.end()))
-    return sorted(base), sorted(base + added)
+    return base, sorted(base + added)
 
 
 def _joined(spans) -> str:
