@@ -36,6 +36,8 @@ _known: dict[tuple[str, str], "_Ids"] = {}
 #: Fixed value: a pre-tokenizer that drops white space and encodes each match by itself; what it matches in lower-case Latin-1.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Fixed value: the only normaliser under which pieces may be encoded apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 BEYOND = re.compile("[^\x00-\xff]")
 WORD = re.compile("[^ \t-\r]+")
 #: With this in a word, an added token may be in it.
@@ -61,12 +63,11 @@ def _open_fs(path: str):
 def _in_pieces(content: str) -> bool:
     """Whether the tokenizer lowers its text, splits it by SPLIT and merges bytes, so that pieces can be encoded apart."""
     made = json.loads(content)
-    steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
     first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
     splits = [(x.get("type"), x.get("pattern", {}).get("Regex"), x.get("use_regex"), x.get("add_prefix_space")) for x in first]
     added = [x["content"] for x in made.get("added_tokens", [])]
     split = splits == [("Split", SPLIT, None, None), ("ByteLevel", None, False, False)]
-    return steps == ["NFC", "Replace", "Lowercase"] and split and made["model"].get("type") == "BPE" and made.get("post_processor") is None and all(ADDED in x and len(x.split()) == 1 for x in added)
+    return made.get("normalizer") == NORMALIZER and split and made["model"].get("type") == "BPE" and made.get("post_processor") is None and all(ADDED in x and len(x.split()) == 1 for x in added)
 
 
 def pieces(text: str) -> list[str]:
