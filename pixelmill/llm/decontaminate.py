@@ -5,9 +5,9 @@ and with the whole of a document that is shorter (an item with words cut off).
 Windows that could reach the similarity (enough of their shingles occur in some
 item of that length, by running sums; none that could is left out) get a 128-bit
 SimHash of their weighted shingles. The fingerprints of the items stand in
-multi-index blocks: two fingerprints within RADIUS bits agree within RADIUS //
-BLOCKS bits in one block at least, so probing each block with that radius finds
-all of them. The weighted shingle similarity of each candidate is then exact.
+multi-index blocks, one entry a block: two fingerprints within RADIUS bits agree
+within RADIUS // BLOCKS bits in one block at least, so probing each block with all
+flips of so many bits finds all of them. The weighted shingle similarity of each candidate is then exact.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from pixelmill.llm.common import SHINGLE, among, mix, shingle_hashes, utf8, word
 
 SIMILARITY = 0.8
 BITS, RADIUS, BLOCKS = 128, 32, 11
-#: Largest benchmark (bytes of text) that goes to the executors whole.
-MOST_BYTES = 256 << 20
+#: Bytes of item text that go to the executors at once, some 20 times as much as an index; a larger benchmark is scanned for in parts.
+MOST_BYTES = 16 << 20
 
 _CUTS = np.linspace(0, BITS, BLOCKS + 1).astype(int)
+_FLIPS = [[sum(1 << w for w in where) for n in range(RADIUS // BLOCKS + 1) for where in combinations(range(int(width)), n)] for width in np.diff(_CUTS)]
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
@@ -74,10 +75,7 @@ class Items:
             g = self.by_length[len(words)]
             bits = fingerprint(_bits(s).sum(0))
             for k, key in enumerate(_block_keys(bits)):
-                width = int(_CUTS[k + 1] - _CUTS[k])
-                for flips in range(RADIUS // BLOCKS + 1):
-                    for where in combinations(range(width), flips):
-                        g["blocks"][k][key ^ sum(1 << w for w in where)].append(len(g["ids"]))
+                g["blocks"][k][key].append(len(g["ids"]))
             g["ids"].append(item)
             g["counts"].append(Counter(s.tolist()))
             g["bits"].append(bits)
@@ -124,7 +122,7 @@ def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
         for p in starts:
             window = s[p : p + n]
             bits = fingerprint(_bits(window).sum(0))
-            near = {i for b, key in enumerate(_block_keys(bits)) for i in g["blocks"][b].get(key, ())}
+            near = {i for b, key in enumerate(_block_keys(bits)) for flip in _FLIPS[b] for i in g["blocks"][b].get(key ^ flip, ())}
             own = None
             for i in sorted(near):
                 if int((g["bits"][i] != bits).sum()) > RADIUS:
@@ -136,13 +134,13 @@ def matches(text: bytes, items: Items) -> list[tuple[int, int, int, float]]:
     return sorted(found.values())
 
 
-def load_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> Items:
-    """Items for the executors; a benchmark beyond MOST_BYTES is refused (split it into parts and scan for each)."""
+def load_items(benchmark: DataFrame, similarity: float = SIMILARITY) -> Iterator[Items]:
+    """Items for the executors, in as many parts as MOST_BYTES asks for, dealt by a hash of the text; each item is in one."""
     rows = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", utf8().alias("text"))
-    weight = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if weight > MOST_BYTES:
-        raise ValueError(f"the benchmark has {weight} bytes, more than {MOST_BYTES}; pass it in parts")
-    return Items([(r["item_id"], bytes(r["text"])) for r in rows.orderBy("item_id").collect()], similarity)
+    parts = max(1, math.ceil((rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) / MOST_BYTES))
+    for p in range(parts):
+        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+        yield Items([(r["item_id"], bytes(r["text"])) for r in own.orderBy("item_id", "text").collect()], similarity)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -151,9 +149,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     Null and empty texts and items match nothing; items without an id are left
     out; items of fewer than five words are one shingle; a document shorter than an
     item is compared as a whole; rows repeat as they come; extra columns are
-    ignored; an empty benchmark gives an empty result.
+    ignored; an empty benchmark gives an empty result; rows that repeat an item's id
+    are compared each, and may be reported each where they fall in different parts.
     """
-    items = load_items(benchmark, similarity)
+    out = None
+    for items in load_items(benchmark, similarity):
+        found = _found(docs, items)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _found(docs: DataFrame, items: Items) -> DataFrame:
     box = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -238,7 +238,7 @@ def test_token_pieces():
         assert np.frombuffer(got, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
-def test_contamination(spark, docs, texts, empty):
+def test_contamination(spark, docs, texts, empty, monkeypatch):
     bench = table(spark, D, "benchmark").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "one two"), (None, "x y z")], "item_id long, text string"))
     items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None and r.text]
     want = set()
@@ -255,6 +255,9 @@ def test_contamination(spark, docs, texts, empty):
                     want.add((d, i))
                     break
     assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()} == want and want
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 4_000)
+    assert len(list(decontaminate.load_items(bench))) > 2
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()} == want
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
@@ -387,8 +390,7 @@ def test_html_without_article(spark):
         plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
         same += html_text.main_text(plain, tree) == html_text.main_text(r.html, tree)
         n += 1
-    print("without article", same, n)
-    assert same / n > 0.1
+    assert same / n > 0.9
 
 
 def test_pipeline(spark):
