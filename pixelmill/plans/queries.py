@@ -168,7 +168,8 @@ def catalogue() -> dict:
     sized = f"(SELECT p.*, h, w, {geometry.RADIUS2} AS q FROM {EVENTS} p JOIN (SELECT image_id, max(y)+1 AS h, max(x)+1 AS w FROM {EVENTS} GROUP BY image_id) d ON p.image_id = d.image_id)"
     fall = f"(1e0+{X.num(K[0])}*q+{X.num(K[1])}*q*q+{X.num(K[2])}*q*q*q)"
     image("vignetting", lambda p: _round(geometry.devignette(p, *K)), _sql(PX_KEYS, sized, *[f"{c}/{fall}" for c in "rgb"], round_=True))
-    s = geometry.source_scale(*WARP).replace("_q", "q")
+    a, b, c = WARP[:3]
+    s = f"({X.num(a)}*q*sqrt(q)+{X.num(b)}*q+{X.num(c)}*sqrt(q)+{X.num(1 - a - b - c)})"
     place = f"(SELECT image_id, y, x, (h-1)/2e0+(y-(h-1)/2e0)*({s}) AS sy, (w-1)/2e0+(x-(w-1)/2e0)*({s}) AS sx FROM {sized})"
     taps = " UNION ALL ".join(f"SELECT image_id, y, x, CAST(floor(sy) AS INT)+{a} AS ty, CAST(floor(sx) AS INT)+{b} AS tx, {'(sy-floor(sy))' if a else '(1e0-(sy-floor(sy)))'}*{'(sx-floor(sx))' if b else '(1e0-(sx-floor(sx)))'} AS k FROM {place}" for a in (0, 1) for b in (0, 1))
     image("remap_bilinear", lambda p: _round(geometry.remap_bilinear(p, *WARP)), f"SELECT t.image_id, t.y, t.x, {', '.join(f'{X.rounded(f'sum(coalesce(p.{c}, 0e0)*k)')} AS {c}' for c in 'rgb')} FROM ({taps}) t LEFT JOIN {EVENTS} p ON p.image_id = t.image_id AND p.y = t.ty AND p.x = t.tx GROUP BY t.image_id, t.y, t.x")

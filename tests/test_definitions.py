@@ -126,7 +126,63 @@ def test_geometry(spark):
     assert np.allclose(grid(geometry.remap_bilinear(px, 0, 0, 0)), a)
     assert np.allclose(grid(geometry.remap_cubic(px, 0, 0, 0)), a)
     assert np.allclose(grid(geometry.devignette(px, 0, 0, 0)), a)
-    assert geometry.auto_scale(100, 150, 0.05, 0.0, 0.0) <= 1
+    assert geometry.auto_scale(100, 150, 0.0, 0.0, 0.0) == pytest.approx(1)
+    assert geometry.auto_scale(100, 150, 0.05, 0.0, 0.0) > 1 and geometry.auto_scale(100, 150, -0.05, 0.0, 0.0) >= 1
+
+
+def whole_frame(a, lens):
+    """Cubic resampling by the spline's own system of equations over whole rows and columns, mirrored ends."""
+    h, w, _ = a.shape
+
+    def system(n):
+        m = np.zeros((n, n))
+        for i in range(n):
+            for d, k in ((-1, 1 / 6), (0, 2 / 3), (1, 1 / 6)):
+                j = abs(i + d)
+                m[i, 2 * n - 2 - j if j >= n else j] += k
+        return m
+
+    def basis(place, n):
+        out = np.zeros((len(place), n))
+        for i, v in enumerate(place):
+            for j in range(math.floor(v) - 1, math.floor(v) + 3):
+                t = abs(v - j)
+                m = abs(j)
+                out[i, 2 * n - 2 - m if m >= n else m] += 2 / 3 - t * t + t**3 / 2 if t < 1 else max(0.0, 2 - t) ** 3 / 6
+        return out
+
+    y, x = (v.ravel() for v in np.mgrid[0:h, 0:w])
+    out = np.zeros((h * w, 3))
+    for k, (sy, sx) in enumerate(geometry.source_places(y, x, lens)):
+        coded = np.linalg.solve(system(w), np.linalg.solve(system(h), a[..., k]).T).T
+        ok = (sy >= 0) & (sy <= h - 1) & (sx >= 0) & (sx <= w - 1)
+        out[ok, k] = np.einsum("ni,ij,nj->n", basis(sy[ok], h), coded, basis(sx[ok], w))
+    return out.reshape(h, w, 3)
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_cubic_over_tiles(spark, monkeypatch, scaled):
+    a = np.random.default_rng(6).random((90, 70, 3))
+    monkeypatch.setattr(geometry, "TILE", 32)
+    warp = {"a": 0.03, "b": -0.06, "c": 0.02, "kr": 1.002, "kb": 0.998}
+    scale = geometry.auto_scale(90, 70, 0.03, -0.06, 0.02) if scaled else 1.0
+    got = grid(geometry.remap_cubic(frame(spark, a), **warp, scaled=scaled))
+    assert np.allclose(got, whole_frame(a, {"h": 90, "w": 70, "scale": scale, **warp}), atol=1e-9)
+    assert not scaled or (got != 0).any(-1).all()
+
+
+def test_correct_lenses(spark):
+    a, b = np.random.default_rng(8).random((2, 20, 24, 3))
+    px = frame(spark, a, b)
+    matched = spark.createDataFrame([(0, "matched", 0.1, 0.02, 1.001), (1, "no lens", None, None, None)], "image_id long, lens_status string, k1 double, a double, kr double")
+    matched = matched.selectExpr("*", "cast(null as double) k2", "0e0 k3", "0e0 b", "0e0 c", "cast(null as double) kb")
+    done = geometry.correct_lenses(px, matched, P.dims(px)).cache()
+    assert np.allclose(grid(done.filter("image_id = 1")), b)
+    first = px.filter("image_id = 0")
+    want = geometry.remap_cubic(geometry.devignette(first, 0.1, 0, 0), 0.02, 0, 0, 1.001, 1.0, scaled=True)
+    assert np.allclose(grid(done.filter("image_id = 0")), grid(want))
+    off = geometry.correct_lenses(px, matched, P.dims(px), distortion=False, tca=False)
+    assert np.allclose(grid(off.filter("image_id = 0")), grid(geometry.devignette(first, 0.1, 0, 0)))
 
 
 def test_lens_match(spark):
