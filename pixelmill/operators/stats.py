@@ -16,6 +16,11 @@ def histogram(px: DataFrame, bins: int = BINS) -> DataFrame:
     return grid.join(found, ["image_id", "channel", "bin"], "left").select("image_id", "channel", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram_sample(px: DataFrame, sizes: DataFrame, above: int = 500_000) -> DataFrame:
+    """The pixels that an image's histogram counts: every second row and column of an image of more than ``above`` pixels, all of others."""
+    return px.join(sizes.select("image_id", "h", "w"), "image_id").filter(f"cast(h as long)*w <= {above} or y % 2 = 0 and x % 2 = 0").drop("h", "w")
+
+
 def histogram_limit(hist: DataFrame, bins: int = BINS) -> DataFrame:
     """image_id, ylim from the inner bins' 98th percentile and the largest bin."""
     inner = f"case when bin between 1 and {bins - 2} then n end"

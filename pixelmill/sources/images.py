@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib.util
 from collections.abc import Callable, Iterator
 
@@ -13,8 +14,22 @@ from pyspark.sql import functions as F
 #: Suffixes of camera files, in scan order.
 EXTENSIONS = (".dng", ".cr2", ".cr3", ".nef", ".arw", ".rw2", ".raf", ".orf", ".pef", ".srw")
 TILE = 256
-TILE_SCHEMA = "image_id long, path string, y0 int, x0 int, h int, w int, data array<float>"
-EXIF = "camera_maker string, camera_model string, lens_maker string, lens_model string, focal_length double, aperture double"
+#: Lens data of a file -> where a decoded raw object holds it.
+EXIF = {
+    "camera_maker": "camera_params.make", "camera_model": "camera_params.model", "lens_maker": "lens_params.make", "lens_model": "lens_params.model",
+    "focal_length": "other_params.focal_len", "aperture": "other_params.aperture",
+}
+EXIF_KINDS = {k: pa.float64() if k in ("focal_length", "aperture") else pa.string() for k in EXIF}
+#: A tile; h and w are its own, rows and cols its image's. A file that can't be decoded is one row with an error and no data.
+TILE_SCHEMA = (
+    "image_id long, path string, y0 int, x0 int, h int, w int, data array<float>, rows int, cols int, "
+    + ", ".join(f"{k} {'double' if v == pa.float64() else 'string'}" for k, v in EXIF_KINDS.items())
+    + ", error string"
+)
+TILE_TYPES = pa.schema([
+    ("image_id", pa.int64()), ("path", pa.string()), *((n, pa.int32()) for n in ("y0", "x0", "h", "w")), ("data", pa.list_(pa.float32())),
+    ("rows", pa.int32()), ("cols", pa.int32()), *EXIF_KINDS.items(), ("error", pa.string()),
+])
 
 #: Suffix -> (bytes, half size) -> (H x W x 3 float32 in 0..1, lens data).
 DECODERS: dict[str, Callable[[bytes, bool], tuple[np.ndarray, dict]]] = {}
@@ -36,6 +51,16 @@ def decode_ppm(content: bytes, half: bool = False) -> tuple[np.ndarray, dict]:
     return (x[::2, ::2] if half else x), {}
 
 
+def extract_exif(raw: object) -> dict:
+    """The lens data that a decoded raw object holds; what it lacks is left out."""
+    out = {}
+    for name, place in EXIF.items():
+        value = functools.reduce(lambda x, part: getattr(x, part, None), place.split("."), raw)
+        if value is not None:
+            out[name] = float(value) if EXIF_KINDS[name] == pa.float64() else str(value)
+    return out
+
+
 def decode_raw(content: bytes, half: bool = False) -> tuple[np.ndarray, dict]:
     """Camera raw by an optional library: linear, camera white balance, no auto brightness, 16 bits, ProPhoto."""
     if importlib.util.find_spec("rawpy") is None:
@@ -45,11 +70,13 @@ def decode_raw(content: bytes, half: bool = False) -> tuple[np.ndarray, dict]:
     import rawpy
 
     with rawpy.imread(io.BytesIO(content)) as raw:
+        exif = extract_exif(raw)
+        # The development options that results depend on.
         out = raw.postprocess(
             gamma=(1, 1), no_auto_bright=True, use_camera_wb=True, output_bps=16, bright=1.0, half_size=half, output_color=rawpy.ColorSpace.ProPhoto,
             highlight_mode=rawpy.HighlightMode.Blend, demosaic_algorithm=rawpy.DemosaicAlgorithm.AAHD,
         )
-    return out.astype(np.float32) / np.float32(65535), {}
+    return out.astype(np.float32) / np.float32(65535), exif
 
 
 register_decoder(".ppm", decode_ppm)
@@ -70,35 +97,44 @@ def scan(spark: SparkSession, folder: str, suffixes=EXTENSIONS) -> DataFrame:
 
 
 def decode_tiles(files: DataFrame, half: bool = False, tile: int = TILE) -> DataFrame:
-    """Tiles of each file; image_id is a hash of the path. The largest array in a task is one image."""
+    """Tiles of each file (TILE_SCHEMA); image_id is a hash of the path. The largest array in a task is one image.
+
+    A file whose decoder fails gives one row with the error; the others go on.
+    """
     decoders = dict(DECODERS)
 
+    def rows_of(key: int, path: str, content: bytes) -> Iterator[dict]:
+        try:
+            px, exif = decoders["." + path.rsplit(".", 1)[-1].lower()](content, half)
+        except Exception as e:  # a file that fails doesn't stop the batch
+            yield {"image_id": key, "path": path, "y0": 0, "x0": 0, "error": f"{type(e).__name__}: {e}"}
+            return
+        for y0 in range(0, px.shape[0], tile):
+            for x0 in range(0, px.shape[1], tile):
+                t = np.ascontiguousarray(px[y0 : y0 + tile, x0 : x0 + tile], dtype=np.float32)
+                size = {"h": t.shape[0], "w": t.shape[1], "rows": px.shape[0], "cols": px.shape[1]}
+                yield {"image_id": key, "path": path, "y0": y0, "x0": x0, "data": t.ravel(), **size, **exif}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                px, _ = decoders["." + path.rsplit(".", 1)[-1].lower()](content, half)
-                for y0 in range(0, px.shape[0], tile):
-                    for x0 in range(0, px.shape[1], tile):
-                        t = np.ascontiguousarray(px[y0 : y0 + tile, x0 : x0 + tile], dtype=np.float32)
-                        yield pa.RecordBatch.from_pydict({
-                            "image_id": pa.array([key], pa.int64()), "path": [path], "y0": pa.array([y0], pa.int32()), "x0": pa.array([x0], pa.int32()),
-                            "h": pa.array([t.shape[0]], pa.int32()), "w": pa.array([t.shape[1]], pa.int32()), "data": pa.array([t.ravel()], pa.list_(pa.float32())),
-                        })
+            for file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for row in rows_of(*file):
+                    yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in TILE_TYPES], schema=TILE_TYPES)
 
     return files.select(F.xxhash64("path").alias("image_id"), "path", "content").mapInArrow(run, TILE_SCHEMA)
 
 
+def image_table(tiles: DataFrame) -> DataFrame:
+    """image_id, h, w, lens data, error: one row a file, from its first tile."""
+    return tiles.filter("y0 = 0 and x0 = 0").select("image_id", F.col("rows").alias("h"), F.col("cols").alias("w"), *EXIF, "error")
+
+
 def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
+    tiles = tiles.filter("data is not null")
     p = tiles.select("image_id", "y0", "x0", "w", F.posexplode(F.expr("transform(sequence(0, h*w-1), i -> struct(data[3*i] as r, data[3*i+1] as g, data[3*i+2] as b))")).alias("i", "v"))
     return p.selectExpr("image_id", "cast(y0 + i div w as int) y", "cast(x0 + i % w as int) x", "cast(v.r as double) r", "cast(v.g as double) g", "cast(v.b as double) b")
 
 
-def pixels_to_tiles(px: DataFrame, tile: int = TILE) -> DataFrame:
-    """Tiles of at most tile x tile pixels: image_id, y0, x0, and parallel arrays of their pixels."""
-    keyed = px.withColumns({"y0": F.expr(f"cast(y div {tile} * {tile} as int)"), "x0": F.expr(f"cast(x div {tile} * {tile} as int)")})
-    return keyed.groupBy("image_id", "y0", "x0").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("px"))
-
-
 def resize(px: DataFrame, long_edge: int = 1600) -> DataFrame:
     """Bilinear reduction to a long edge of at most ``long_edge``, by local joins."""
     from pixelmill.operators.pixels import dims

@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,51 +52,62 @@ def encode_tiff(px: np.ndarray) -> bytes:
     return head + struct.pack("<3H", 16, 16, 16) + struct.pack(f"<{n}I", *offsets) + struct.pack(f"<{n}I", *map(len, strips)) + b"".join(strips)
 
 
-def encode_pillow(px: np.ndarray, format: str) -> bytes:
-    """JPEG (8 bits, quality 95, no subsampling, optimised) and HEIF by optional libraries."""
+def encode_jpeg(px: np.ndarray) -> bytes:
+    """8 bits, quality 95, no subsampling, optimised; by an optional library."""
     if importlib.util.find_spec("PIL") is None:
-        raise RuntimeError(f"writing {format} needs the optional Pillow library")
+        raise RuntimeError("writing JPEG needs the optional Pillow library")
     from PIL import Image
 
-    if format in ("heic", "heif"):
-        import pillow_heif
+    out = io.BytesIO()
+    Image.fromarray((np.clip(px, 0, 1) * 255).astype(np.uint8)).save(out, "JPEG", quality=95, subsampling=0, optimize=True)
+    return out.getvalue()
+
 
-        pillow_heif.register_heif_opener()
+def encode_heif(px: np.ndarray) -> bytes:
+    """16-bit codes stored with 10 bits, without further loss; by an optional library."""
+    if importlib.util.find_spec("pillow_heif") is None:
+        raise RuntimeError("writing HEIF needs the optional pillow_heif library")
+    import pillow_heif
+
+    codes = (np.clip(px, 0, 1) * 65535).astype(np.uint16)
     out = io.BytesIO()
-    image = Image.fromarray((np.clip(px, 0, 1) * 255).astype(np.uint8))
-    image.save(out, "HEIF", quality=-1) if format in ("heic", "heif") else image.save(out, "JPEG", quality=95, subsampling=0, optimize=True)
+    pillow_heif.from_bytes(mode="RGB;16", size=(codes.shape[1], codes.shape[0]), data=codes.tobytes()).save(out, quality=-1, bit_depth=10)
     return out.getvalue()
 
 
 #: Suffix -> encoder of an H x W x 3 array in 0..1.
-ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"tif": encode_tiff, "tiff": encode_tiff}
-for _f in ("jpg", "jpeg", "heic", "heif"):
-    ENCODERS[_f] = lambda px, f=_f: encode_pillow(px, f)
+ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"tif": encode_tiff, "tiff": encode_tiff, "jpg": encode_jpeg, "jpeg": encode_jpeg, "heic": encode_heif, "heif": encode_heif}
 
 
 def write_images(px: DataFrame, names: DataFrame, folder: str, format: str = "tif") -> DataFrame:
     """Encode each image and write it under ``folder``; returns image_id, out, bytes, error.
 
-    ``names`` has image_id and out. An image is one group (its file is one object);
-    a failure is reported in ``error``, the others are written.
+    ``names`` has image_id and out, a name for each image. An image is one group (its
+    file is one object); a failure is reported in ``error``, the others are written.
     """
     encoders = dict(ENCODERS)
     where = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out, size, error = g.out.iloc[0], 0, None
-        try:
-            a = np.zeros((int(g.y.max()) + 1, int(g.x.max()) + 1, 3))
-            for k, c in enumerate("rgb"):
-                a[g.y, g.x, k] = g[c]
-            made = encoders.get(format, encoders["jpg"])(a)
-            fs, root = pafs.FileSystem.from_uri(where)
-            fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(f"{root}/{out}") as f:
-                f.write(made)
-            size = len(made)
-        except Exception as e:  # an image that fails doesn't stop the batch
-            error = f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"image_id": [g.image_id.iloc[0]], "out": [out], "bytes": [size], "error": [error]})
-
-    return px.join(names, "image_id").groupBy("image_id").applyInPandas(run, "image_id long, out string, bytes long, error string")
+    reported = pa.schema([("image_id", pa.int64()), ("out", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
+
+    def run(t: pa.Table, name: pa.Table) -> pa.Table:
+        rows = []
+        for out in name.column("out").to_pylist() if t.num_rows else []:
+            size, error = 0, None
+            try:
+                y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
+                a = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3))
+                for k, c in enumerate("rgb"):
+                    a[y, x, k] = t.column(c).to_numpy()
+                made = encoders.get(format, encode_jpeg)(a)
+                fs, root = pafs.FileSystem.from_uri(where)
+                fs.create_dir(root, recursive=True)
+                with fs.open_output_stream(f"{root}/{out}") as f:
+                    f.write(made)
+                size = len(made)
+            except Exception as e:  # an image that fails doesn't stop the batch
+                error = f"{type(e).__name__}: {e}"
+            rows.append({"image_id": name.column("image_id")[0].as_py(), "out": out, "bytes": size, "error": error})
+        return pa.Table.from_pylist(rows, schema=reported)
+
+    pixels = px.select("image_id", "y", "x", "r", "g", "b").groupBy("image_id")
+    return pixels.cogroup(names.select("image_id", "out").groupBy("image_id")).applyInArrow(run, "image_id long, out string, bytes long, error string")

@@ -3,6 +3,7 @@
 import math
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,8 +13,10 @@ from pixelmill.functions import exprs as X
 from pixelmill.functions import spaces as S
 from pixelmill.operators import geometry, lut, metering, stats
 from pixelmill.operators import pixels as P
-from pixelmill.plans.develop import Params, process_path
-from pixelmill.sources import cube, images, sinks
+from pixelmill.plans import cli
+from pixelmill.plans.develop import Params, messages, process_path
+from pixelmill.sources import cube, images, lens_db, sinks
+from pixelmill.streaming import events as E
 
 PX = "image_id long, y int, x int, r double, g double, b double"
 
@@ -220,6 +223,7 @@ def test_batch(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     done = process_path(spark, str(tmp_path), str(tmp_path / "out"), "S-Log3", exposure=0.0, suffixes=(".ppm",)).collect()
     assert [(r.out, r.error) for r in done] == [("one.tif", None)] and (tmp_path / "out/one.tif").stat().st_size == done[0].bytes
+    assert len(list((tmp_path / "out").glob(".pixelmill-*/tiles"))) == 0
     px = images.tiles_to_pixels(images.decode_tiles(images.scan(spark, str(tmp_path), (".ppm",)), tile=16))
     assert np.allclose(grid(px), a / 65535.0, atol=1e-6)
     assert grid(images.resize(px, 20)).shape == (15, 20, 3)
@@ -227,3 +231,56 @@ def test_batch(spark, tmp_path):
         images.scan(spark, str(tmp_path))
     with pytest.raises(ValueError):
         Params("nothing")
+
+
+def test_batch_goes_on_after_failures(spark, tmp_path):
+    a = (np.random.default_rng(4).random((6, 8, 3)) * 255).astype("u1")
+    (tmp_path / "good.ppm").write_bytes(b"P6\n8 6\n255\n" + a.tobytes())
+    (tmp_path / "bad.ppm").write_bytes(b"not an image")
+    lenses = spark.createDataFrame([], lens_db.SCHEMA)
+    report = process_path(spark, str(tmp_path), str(tmp_path / "out"), "S-Log3", str(tmp_path / "no.cube"), suffixes=(".ppm",), lenses=lenses)
+    got = {r.out: (r.error is None, r.lens_status) for r in report.collect()}
+    assert got == {"good.tif": (True, "no exif"), "bad.tif": (False, None)}
+    said = messages(report)
+    assert E.progress_counts(said).first().asDict() == {"processed": 2, "total": 2}
+    assert [m.level for m in said.orderBy("seq").collect()] == ["info", "error", "info"]
+    with pytest.raises(Exception, match="(?i)no.cube|not exist|PATH_NOT_FOUND"):
+        process_path(spark, str(tmp_path), str(tmp_path / "out"), "S-Log3", str(tmp_path / "no.cube"), suffixes=(".ppm",), on_lut_error="fail")
+
+
+def test_single_file(spark, tmp_path):
+    (tmp_path / "one.ppm").write_bytes(b"P6\n2 1\n255\n" + bytes(6))
+    process_path(spark, str(tmp_path / "one.ppm"), str(tmp_path / "made.tiff"), "V-Log", exposure=0.0, suffixes=(".ppm",))
+    assert (tmp_path / "made.tiff").read_bytes()[:2] == b"II"
+    (tmp_path / "to").mkdir()
+    process_path(spark, str(tmp_path / "one.ppm"), str(tmp_path / "to"), "V-Log", exposure=0.0, suffixes=(".ppm",))
+    assert (tmp_path / "to/one.tif").exists()
+
+
+def test_each_file_by_its_lens(spark, tmp_path, monkeypatch):
+    raw = SimpleNamespace(camera_params=SimpleNamespace(make="M", model="cam"), lens_params=SimpleNamespace(make=None, model="lens"), other_params=SimpleNamespace(focal_len=35, aperture=2.0))
+    assert images.extract_exif(raw) == {"camera_maker": "M", "camera_model": "cam", "lens_model": "lens", "focal_length": 35.0, "aperture": 2.0}
+    assert images.extract_exif(SimpleNamespace(other_params=SimpleNamespace(aperture=4))) == {"aperture": 4.0}
+    exif = images.extract_exif(raw)
+    monkeypatch.setitem(images.DECODERS, ".lens", lambda content, half: (np.ones((3, 3, 3), np.float32), exif))
+    (tmp_path / "a.lens").write_bytes(b"x")
+    (tmp_path / "lenses.xml").write_text("<db><lens><camera_model>CAM</camera_model><lens_model>lens</lens_model><focal>35</focal><k1>0.5</k1></lens></db>")
+    (tmp_path / "own.xml").write_text("<db><lens><camera_model>other</camera_model><lens_model>lens</lens_model><focal>35</focal></lens></db>")
+    options = cli.parser().parse_args([str(tmp_path), "out", "--log-space", "V-Log", "--lens-db", str(tmp_path / "lenses.xml"), "--custom-lensfun-db", str(tmp_path / "own.xml")])
+    lenses = cli.lenses(spark, options)
+    assert sorted((r.camera_model, r.k1, r.kr) for r in lenses.collect()) == [("CAM", 0.5, 1.0), ("other", 0.0, 1.0)]
+    options.lens_correct = False
+    assert cli.lenses(spark, options) is None
+    report = process_path(spark, str(tmp_path), str(tmp_path / "out"), "V-Log", exposure=0.0, suffixes=(".lens",), lenses=lenses)
+    assert [(r.error, r.lens_status) for r in report.collect()] == [(None, "matched")]
+
+
+def test_output_names_and_tables(spark, tmp_path):
+    names = spark.createDataFrame([("a.tif",), ("a.tif",), ("b.tif",)], "out string")
+    assert [tuple(r) for r in sinks.collisions(names).collect()] == [("a.tif", 2)]
+    for n in ("b.CUBE", "a.cube", "c.txt"):
+        (tmp_path / n).write_text("LUT_1D_SIZE 2\n0 0 0\n1 1 1")
+    assert [r.name for r in cube.folder(spark, str(tmp_path)).collect()] == ["a.cube", "b.CUBE"]
+    assert cube.default(spark, str(tmp_path)).endswith("a.cube")
+    px = frame(spark, np.zeros((4, 6, 3)))
+    assert stats.histogram_sample(px, P.dims(px), above=23).count() == 6 and stats.histogram_sample(px, P.dims(px), above=24).count() == 24
