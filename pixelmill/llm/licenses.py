@@ -1,13 +1,17 @@
 """License scans: MinHash bands of overlapping windows retrieve templates, exact shingle containment verifies.
 
-A template is cut into its shingles; a text into windows half as long again as a
-template, overlapping so that every run of a template's length lies whole in one
-of them. A window with a share of 0.8 of a template has a Jaccard similarity of
-about 0.45 with it; bands of one row miss such a pair with a chance of 0.55^64.
+Templates of similar size form a class. Over a whole text, every shingle is hashed
+once for each band; a class takes the least value of each block of shingles, half as
+long as its largest template, and of each window of three blocks, so that every run
+of a template's length lies whole in a window. A window shares a band with a template
+where their least values are equal. A window that holds a share of 0.8 of a template
+has a Jaccard similarity of at least 0.32 with it (0.8 / 2.45) and misses all
+bands with a chance of (1 - 0.32)^64, 2e-11, at most.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +21,15 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.common import among, mix, shingle_hashes, utf8, word_hashes
 
-#: Share of a template's shingles that a text must hold.
+#: Share of a template's shingles that a window must hold.
 CONTAINMENT = 0.8
 #: MinHash bands of one row each: a pair of Jaccard similarity j is missed with a chance of (1 - j)^BANDS.
 BANDS = 64
 SHINGLE_WORDS = 5
+#: The largest template of a class has at most this many times the shingles of the smallest.
+CLASS = 1.5
+#: Shingles hashed at a time; pieces of a long text overlap by the longest window.
+PIECE = 8192
 
 #: Names and notices as their licences word them.
 TEMPLATES = (
@@ -35,68 +43,99 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
 )
 
 
 class Templates:
+    """Templates by shingle length and class of sizes, with the least values of their bands."""
+
     def __init__(self, rows, bands: int = BANDS):
-        self.names = [name for name, _ in rows]
-        self.bands = bands
-        self.sets, self.sizes = [], []
-        self.index: list[dict[int, list[int]]] = [{} for _ in range(bands)]
-        for i, (_, text) in enumerate(rows):
+        self.seeds = (np.arange(1, bands + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        made = []
+        for name, text in rows:
             words = word_hashes(text.encode())
-            s = np.unique(shingle_hashes(words, SHINGLE_WORDS))
-            self.sets.append(s)
-            self.sizes.append(len(words))
-            for b, v in enumerate(self.minhash(s)):
-                self.index[b].setdefault(int(v), []).append(i)
-        self.lengths = sorted(set(self.sizes))
-        self.every = np.unique(np.concatenate(self.sets)) if rows else np.zeros(0, "<u8")
-
-    def minhash(self, s: np.ndarray) -> np.ndarray:
-        seeds = (np.arange(1, self.bands + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))[:, None]
-        return mix(s[None, :] + seeds).min(1)
-
-
-def licences(text: bytes, t: Templates, containment: float = CONTAINMENT) -> list[tuple[str, int, int, float]]:
-    """(licence, first word, words, containment) of the best window for each licence in the text."""
-    words = word_hashes(text)
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    best: dict[str, tuple[str, int, int, float]] = {}
-    for length in t.lengths:
-        if not len(words) or len(words) < containment * length:
+            if len(words):
+                size = min(SHINGLE_WORDS, len(words))
+                made.append((size, len(words) - size + 1, name, np.unique(shingle_hashes(words, size))))
+        self.classes: list[tuple[int, int, np.ndarray, list[dict[int, list[int]]], list[tuple[str, np.ndarray]]]] = []
+        for size in sorted({m[0] for m in made}):
+            left = sorted((m for m in made if m[0] == size), key=lambda m: m[1])
+            while left:
+                own = [m for m in left if m[1] <= CLASS * left[0][1]]
+                left = left[len(own) :]
+                index: list[dict[int, list[int]]] = [{} for _ in range(bands)]
+                marks = np.zeros(1 << 16, dtype=bool)
+                for i, (_, _, _, s) in enumerate(own):
+                    for band, v in enumerate(self.hashes(s).min(1)):
+                        index[band].setdefault(int(v), []).append(i)
+                        marks[int(v) & 0xFFFF] = True
+                self.classes.append((size, max(1, own[-1][1] // 2), marks, index, [(m[2], m[3]) for m in own]))
+        self.overlap = max((3 * c[1] for c in self.classes), default=0)
+
+    def hashes(self, s: np.ndarray) -> np.ndarray:
+        return mix(s[None, :] + self.seeds)
+
+
+def _piece(s: np.ndarray, size: int, t: Templates, containment: float) -> Iterator[tuple[str, int, int]]:
+    """(licence, first shingle, last shingle) of the windows of one piece that hold a template."""
+    values = t.hashes(s)
+    for length, step, marks, index, own in t.classes:
+        if length != size:
             continue
-        size = min(SHINGLE_WORDS, length)
-        if size not in by_size:
-            s = shingle_hashes(words, size)
-            by_size[size] = (s, np.flatnonzero(among(s, t.every)))
-        s, known = by_size[size]
-        if not len(known):
+        blocks = np.minimum.reduceat(values, np.arange(0, len(s), step), axis=1) if step > 1 else values
+        least = blocks.copy()
+        for k in (1, 2):
+            np.minimum(least[:, :-k], blocks[:, k:], out=least[:, :-k])
+        band, at = np.nonzero(marks[least & np.uint64(0xFFFF)])
+        near = {(w, i) for b, w, v in zip(band.tolist(), at.tolist(), least[band, at].tolist(), strict=True) for i in index[b].get(v, ())}
+        for w, i in sorted(near):
+            name, wanted = own[i]
+            held = np.flatnonzero(among(s[w * step : (w + 3) * step], wanted))
+            if len(np.unique(s[w * step + held])) >= containment * len(wanted):
+                yield name, w * step + int(held[0]), w * step + int(held[-1])
+
+
+def licences(text: bytes, t: Templates, containment: float = CONTAINMENT) -> list[tuple[str, int, int]]:
+    """(licence, first word, words) of all places in the text that hold a template; those of one licence that overlap are one."""
+    words = word_hashes(text)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for size in sorted({c[0] for c in t.classes}):
+        if len(words) < size:
             continue
-        n = length - size + 1
-        step = max(1, n // 2)
-        run = n + step - 1
-        # Of the windows over the whole text, those that share a shingle with some template.
-        firsts = {f for k in known.tolist() for f in range(max(0, k - run + 1 + step - 1) // step, k // step + 1)}
-        for start in (f * step for f in sorted(firsts)):
-            window = np.unique(s[start : start + run])
-            near = {i for b, v in enumerate(t.minhash(window)) for i in t.index[b].get(int(v), ())}
-            for i in near:
-                if t.sizes[i] != length:
-                    continue
-                share = np.isin(t.sets[i], window).sum() / len(t.sets[i])
-                if share >= containment and share > best.get(t.names[i], ("", 0, 0, 0.0))[3]:
-                    first = start + int(np.flatnonzero(np.isin(s[start : start + run], t.sets[i]))[0])
-                    best[t.names[i]] = (t.names[i], first, length, float(share))
-    return sorted(best.values())
+        s = shingle_hashes(words, size)
+        for start in range(0, len(s), PIECE):
+            for name, first, last in _piece(s[start : start + PIECE + t.overlap], size, t, containment):
+                bisect.insort(found.setdefault(name, []), (start + first, start + last + size))
+    out = []
+    for name, places in found.items():
+        first, end = places[0]
+        for a, b in places[1:]:
+            if a >= end:
+                out.append((name, first, end - first))
+                first, end = a, b
+            end = max(end, b)
+        out.append((name, first, end - first))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, licenses (names in order, comma-joined), n_licenses, spans (name:first word:words) for each row.
 
-    Null and empty texts have none; rows repeat as they come; extra columns are
-    ignored; templates of fewer than five words are one shingle of their length.
+    ``templates`` are rows of name and text, held by every worker: a bounded list, not a
+    corpus. Null and empty texts have none; rows repeat as they come; extra columns are
+    ignored; templates of fewer than five words are one shingle of their length, those
+    without words are left out.
     """
     t = Templates(templates)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -104,8 +143,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [licences(x, t, containment) for x in b.column(1).to_pylist()]
-            names = pa.array([",".join(g[0] for g in x) for x in got], pa.string())
+            each = [sorted({g[0] for g in x}) for x in got]
             spans = pa.array([",".join(f"{g[0]}:{g[1]}:{g[2]}" for g in x) for x in got], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array([len(x) for x in got], pa.int64()), spans], names=["doc_id", "licenses", "n_licenses", "spans"])
+            columns = [b.column(0), pa.array([",".join(x) for x in each], pa.string()), pa.array([len(x) for x in each], pa.int64()), spans]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "licenses", "n_licenses", "spans"])
 
     return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, f"doc_id {kind}, licenses string, n_licenses long, spans string")

@@ -292,6 +292,24 @@ def test_licenses(docs, texts, empty, spark):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_places():
+    """Every template, whole or with words changed, at any place of a long text, more than once; against windows by brute force."""
+    r = np.random.default_rng(12)
+    t = licenses.Templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        n = len(words) - 4
+        changed = words[: len(words) - int(0.15 * n)]  # a template without its end holds 0.85 of its shingles
+        for lead in (0, 1, 7, int(r.integers(8, 400)), licenses.PIECE - 3):
+            got = licenses.licences(" ".join([*(f"a{i}" for i in range(lead)), *words, *(f"b{i}" for i in range(600)), *changed, "c"]).encode(), t)
+            assert (name, lead, len(words)) in got, (name, lead, got)
+            assert any(g[0] == name and g[1] == lead + len(words) + 600 for g in got), (name, lead, got)
+        half = " ".join(words[: 4 + int(0.7 * n)]).encode()
+        assert n < 4 or all(g[0] != name for g in licenses.licences(half, licenses.Templates([(name, text)])))
+    assert licenses.licences(b"any text", licenses.Templates([])) == [] and licenses.licences(b"", t) == []
+    assert licenses.licences(b"x Two Words y", licenses.Templates([("A", "two words"), ("B", " ")])) == [("A", 1, 2)]
+
+
 def test_toxicity(spark, docs, empty):
     labels = table(spark, D, "labels")
     got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
