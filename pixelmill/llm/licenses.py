@@ -1,9 +1,9 @@
 """License scans: MinHash bands of overlapping windows retrieve templates, exact shingle containment verifies.
 
 Templates of similar size form a class. Over a whole text, every shingle is hashed
-once for each band; a class takes the least value of each block of shingles, half as
-long as its largest template, and of each window of three blocks, so that every run
-of a template's length lies whole in a window. A window shares a band with a template
+once for each band; a class takes the least value of each window, half as long again
+as its largest template. Windows start a third of their length apart, so that every
+run of a template's length lies whole in one. A window shares a band with a template
 where their least values are equal. A window that holds a share of 0.8 of a template
 has a Jaccard similarity of at least 0.32 with it (0.8 / 2.45) and misses all
 bands with a chance of (1 - 0.32)^64, 2e-11, at most.
@@ -26,10 +26,10 @@ CONTAINMENT = 0.8
 #: MinHash bands of one row each: a pair of Jaccard similarity j is missed with a chance of (1 - j)^BANDS.
 BANDS = 64
 SHINGLE_WORDS = 5
-#: The largest template of a class has at most this many times the shingles of the smallest.
+#: The largest template of a class has at most this many times the shingles of the smallest, or three.
 CLASS = 1.5
 #: Shingles hashed at a time; pieces of a long text overlap by the longest window.
-PIECE = 8192
+PIECE = 4096
 
 #: Names and notices as their licences word them.
 TEMPLATES = (
@@ -68,11 +68,11 @@ class Templates:
             if len(words):
                 size = min(SHINGLE_WORDS, len(words))
                 made.append((size, len(words) - size + 1, name, np.unique(shingle_hashes(words, size))))
-        self.classes: list[tuple[int, int, np.ndarray, list[dict[int, list[int]]], list[tuple[str, np.ndarray]]]] = []
+        self.classes: list[tuple[int, int, np.ndarray, np.ndarray, list[dict[int, list[int]]], list[tuple[str, np.ndarray]]]] = []
         for size in sorted({m[0] for m in made}):
             left = sorted((m for m in made if m[0] == size), key=lambda m: m[1])
             while left:
-                own = [m for m in left if m[1] <= CLASS * left[0][1]]
+                own = [m for m in left if m[1] <= max(3, CLASS * left[0][1])]
                 left = left[len(own) :]
                 index: list[dict[int, list[int]]] = [{} for _ in range(bands)]
                 marks = np.zeros(1 << 16, dtype=bool)
@@ -80,30 +80,44 @@ class Templates:
                     for band, v in enumerate(self.hashes(s).min(1)):
                         index[band].setdefault(int(v), []).append(i)
                         marks[int(v) & 0xFFFF] = True
-                self.classes.append((size, max(1, own[-1][1] // 2), marks, index, [(m[2], m[3]) for m in own]))
+                values = np.unique(np.array([v for one in index for v in one], "<u4"))
+                self.classes.append((size, max(1, own[-1][1] // 2), marks, values, index, [(m[2], m[3]) for m in own]))
         self.overlap = max((3 * c[1] for c in self.classes), default=0)
 
     def hashes(self, s: np.ndarray) -> np.ndarray:
-        return mix(s[None, :] + self.seeds)
+        """32 bits of each shingle for each band."""
+        return (mix(s[None, :] + self.seeds) >> np.uint64(32)).astype(np.uint32)
 
 
 def _piece(s: np.ndarray, size: int, t: Templates, containment: float) -> Iterator[tuple[str, int, int]]:
-    """(licence, first shingle, last shingle) of the windows of one piece that hold a template."""
-    values = t.hashes(s)
-    for length, step, marks, index, own in t.classes:
+    """(licence, first shingle, last shingle) of the windows of one piece that hold a template.
+
+    Least values of runs of 1, 2, 4, ... shingles serve the windows of all classes: a
+    window is two such runs that overlap.
+    """
+    runs = [t.hashes(s)]
+    for length, step, marks, values, index, own in t.classes:
         if length != size:
             continue
-        blocks = np.minimum.reduceat(values, np.arange(0, len(s), step), axis=1) if step > 1 else values
-        least = blocks.copy()
-        for k in (1, 2):
-            np.minimum(least[:, :-k], blocks[:, k:], out=least[:, :-k])
-        band, at = np.nonzero(marks[least & np.uint64(0xFFFF)])
-        near = {(w, i) for b, w, v in zip(band.tolist(), at.tolist(), least[band, at].tolist(), strict=True) for i in index[b].get(v, ())}
+        wide = min(3 * step, len(s))
+        level = wide.bit_length() - 1
+        while len(runs) <= level:
+            half = 1 << (len(runs) - 1)
+            runs.append(np.minimum(runs[-1][:, :-half], runs[-1][:, half:]))
+        starts, rest = np.append(np.arange(0, len(s) - wide, step), len(s) - wide), wide - (1 << level)
+        if step == 1:
+            least = np.minimum(runs[level][:, : len(starts)], runs[level][:, rest : rest + len(starts)])
+        else:
+            least = np.minimum(runs[level].take(starts, 1), runs[level].take(starts + rest, 1))
+        hits = np.flatnonzero(marks.take(least.astype(np.uint16)))  # the low 16 bits tell most values from the templates'
+        hits = hits[among(least.ravel()[hits], values)]
+        band, at = np.divmod(hits, len(starts))
+        near = {(w, i) for b, w, v in zip(band.tolist(), starts[at].tolist(), least.ravel()[hits].tolist(), strict=True) for i in index[b].get(v, ())}
         for w, i in sorted(near):
             name, wanted = own[i]
-            held = np.flatnonzero(among(s[w * step : (w + 3) * step], wanted))
-            if len(np.unique(s[w * step + held])) >= containment * len(wanted):
-                yield name, w * step + int(held[0]), w * step + int(held[-1])
+            held = np.flatnonzero(among(s[w : w + wide], wanted))
+            if len(np.unique(s[w + held])) >= containment * len(wanted):
+                yield name, w + int(held[0]), w + int(held[-1])
 
 
 def licences(text: bytes, t: Templates, containment: float = CONTAINMENT) -> list[tuple[str, int, int]]:
