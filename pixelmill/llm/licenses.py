@@ -11,7 +11,6 @@ bands with a chance of (1 - 0.32)^64, 2e-11, at most.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,10 @@ BANDS = 64
 SHINGLE_WORDS = 5
 #: The largest template of a class has at most this many times the shingles of the smallest, or three.
 CLASS = 1.5
-#: Shingles hashed at a time; pieces of a long text overlap by the longest window.
+#: Shingles hashed at a time, of many texts or of one; pieces of a long text overlap by the longest window.
 PIECE = 4096
+#: Texts taken from a batch at a time.
+TEXTS = 64
 
 #: Names and notices as their licences word them.
 TEMPLATES = (
@@ -61,7 +62,7 @@ class Templates:
     """Templates by shingle length and class of sizes, with the least values of their bands."""
 
     def __init__(self, rows, bands: int = BANDS):
-        self.seeds = (np.arange(1, bands + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        self.seeds = (mix(np.arange(1, bands + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))[:, None]
         made = []
         for name, text in rows:
             words = word_hashes(text.encode())
@@ -85,29 +86,41 @@ class Templates:
         self.overlap = max((3 * c[1] for c in self.classes), default=0)
 
     def hashes(self, s: np.ndarray) -> np.ndarray:
-        """32 bits of each shingle for each band."""
-        return (mix(s[None, :] + self.seeds) >> np.uint64(32)).astype(np.uint32)
+        """32 bits of each shingle for each band: the shingle, which is mixed already, times an odd number of the band."""
+        return ((s[None, :] * self.seeds) >> np.uint64(32)).astype(np.uint32)
 
 
-def _piece(s: np.ndarray, size: int, t: Templates, containment: float) -> Iterator[tuple[str, int, int]]:
-    """(licence, first shingle, last shingle) of the windows of one piece that hold a template.
+def _found(parts: list[tuple[int, int, np.ndarray]], size: int, t: Templates, containment: float) -> Iterator[tuple[int, str, int, int]]:
+    """(text, licence, first shingle, last shingle) of the windows that hold a template, over many parts of texts at once.
 
+    A part is (text, place of its first shingle, shingles). All parts stand in one row.
     Least values of runs of 1, 2, 4, ... shingles serve the windows of all classes: a
-    window is two such runs that overlap.
+    window is two such runs that overlap. A window that reaches beyond its part may meet
+    a template there, which only adds candidates: containment is verified within the part.
     """
-    runs = [t.hashes(s)]
+    s, counts = np.concatenate([p[2] for p in parts]), np.array([len(p[2]) for p in parts])
+    ends = np.cumsum(counts)
+    offsets = ends - counts
+    runs = [np.full((len(t.seeds), len(s) + t.overlap), 0xFFFFFFFF, np.uint32)]
+    runs[0][:, : len(s)] = t.hashes(s)
     for length, step, marks, values, index, own in t.classes:
         if length != size:
             continue
-        wide = min(3 * step, len(s))
+        wide = 3 * step
         level = wide.bit_length() - 1
         while len(runs) <= level:
             half = 1 << (len(runs) - 1)
             runs.append(np.minimum(runs[-1][:, :-half], runs[-1][:, half:]))
-        starts, rest = np.append(np.arange(0, len(s) - wide, step), len(s) - wide), wide - (1 << level)
+        rest = wide - (1 << level)
         if step == 1:
-            least = np.minimum(runs[level][:, : len(starts)], runs[level][:, rest : rest + len(starts)])
+            starts = np.arange(len(s))
+            least = np.minimum(runs[level][:, : len(s)], runs[level][:, rest : rest + len(s)])
         else:
+            top = np.maximum(counts - wide, 0)
+            windows = -(-top // step) + 1
+            part = np.repeat(np.arange(len(parts)), windows)
+            nth = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows)
+            starts = offsets[part] + np.minimum(nth * step, top[part])
             least = np.minimum(runs[level].take(starts, 1), runs[level].take(starts + rest, 1))
         hits = np.flatnonzero(marks.take(least.astype(np.uint16)))  # the low 16 bits tell most values from the templates'
         hits = hits[among(least.ravel()[hits], values)]
@@ -115,32 +128,55 @@ def _piece(s: np.ndarray, size: int, t: Templates, containment: float) -> Iterat
         near = {(w, i) for b, w, v in zip(band.tolist(), starts[at].tolist(), least.ravel()[hits].tolist(), strict=True) for i in index[b].get(v, ())}
         for w, i in sorted(near):
             name, wanted = own[i]
-            held = np.flatnonzero(among(s[w : w + wide], wanted))
-            if len(np.unique(s[w + held])) >= containment * len(wanted):
-                yield name, w + int(held[0]), w + int(held[-1])
+            part = int(np.searchsorted(ends, w, "right"))
+            window = s[w : min(w + wide, int(ends[part]))]
+            held = np.flatnonzero(among(window, wanted))
+            if len(np.unique(window[held])) >= containment * len(wanted):
+                text, place, _ = parts[part]
+                at = place + w - int(offsets[part])
+                yield text, name, at + int(held[0]), at + int(held[-1])
+
+
+def _pieces(words: list[np.ndarray], size: int, t: Templates) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Parts of texts, about PIECE shingles together; a long text is cut into parts that overlap by the longest window."""
+    row, held = [], 0
+    for i, w in enumerate(words):
+        if len(w) < size:
+            continue
+        s = shingle_hashes(w, size)
+        for start in range(0, len(s), PIECE):
+            row.append((i, start, s[start : start + PIECE + t.overlap]))
+            held += len(row[-1][2])
+            if held >= PIECE:
+                yield row
+                row, held = [], 0
+    if row:
+        yield row
 
 
 def licences(text: bytes, t: Templates, containment: float = CONTAINMENT) -> list[tuple[str, int, int]]:
-    """(licence, first word, words) of all places in the text that hold a template; those of one licence that overlap are one."""
-    words = word_hashes(text)
-    found: dict[str, list[tuple[int, int]]] = {}
+    return all_licences([text], t, containment)[0]
+
+
+def all_licences(texts: list[bytes], t: Templates, containment: float = CONTAINMENT) -> list[list[tuple[str, int, int]]]:
+    """For each text (licence, first word, words) of all places that hold a template; those of one licence that overlap are one."""
+    words = [word_hashes(x) for x in texts]
+    found: list[dict[str, list[tuple[int, int]]]] = [{} for _ in texts]
     for size in sorted({c[0] for c in t.classes}):
-        if len(words) < size:
-            continue
-        s = shingle_hashes(words, size)
-        for start in range(0, len(s), PIECE):
-            for name, first, last in _piece(s[start : start + PIECE + t.overlap], size, t, containment):
-                bisect.insort(found.setdefault(name, []), (start + first, start + last + size))
-    out = []
-    for name, places in found.items():
-        first, end = places[0]
-        for a, b in places[1:]:
-            if a >= end:
-                out.append((name, first, end - first))
-                first, end = a, b
-            end = max(end, b)
-        out.append((name, first, end - first))
-    return sorted(out)
+        for row in _pieces(words, size, t):
+            for i, name, first, last in _found(row, size, t, containment):
+                found[i].setdefault(name, []).append((first, last + size))
+    return [sorted(place for name, places in x.items() for place in _merged(name, places)) for x in found]
+
+
+def _merged(name: str, places: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    (first, end), *others = sorted(places)
+    for a, b in others:
+        if a >= end:
+            yield name, first, end - first
+            first, end = a, b
+        end = max(end, b)
+    yield name, first, end - first
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -156,7 +192,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [licences(x, t, containment) for x in b.column(1).to_pylist()]
+            got = [x for at in range(0, b.num_rows, TEXTS) for x in all_licences(b.column(1).slice(at, TEXTS).to_pylist(), t, containment)]
             each = [sorted({g[0] for g in x}) for x in got]
             spans = pa.array([",".join(f"{g[0]}:{g[1]}:{g[2]}" for g in x) for x in got], pa.string())
             columns = [b.column(0), pa.array([",".join(x) for x in each], pa.string()), pa.array([len(x) for x in each], pa.int64()), spans]
