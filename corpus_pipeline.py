@@ -20,25 +20,31 @@ from pixelmill.llm.queries import vocabulary_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Similarity in percent from which the near-dedup stage links; op2's own threshold is fixed by its contract.
 NEAR = 80
+#: Ids up to which the documents to leave out are broadcast, about 100 MB as a hash table; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ``ids``; rows without an id stay. The ids are written and counted first, so that texts are shuffled for more than BROADCAST_IDS only."""
+    ids = cut(ids.select("doc_id").distinct())
+    small = ids.count() <= BROADCAST_IDS
+    return docs.select(*COLUMNS).join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that the toxicity model predicts as toxic; rows without an id are kept."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, toxicity.score(docs, model).filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of near duplicates, linked at NEAR percent."""
-    gone = near_dedup.near_duplicates(docs, percent=NEAR).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, near_dedup.near_duplicates(docs, percent=NEAR).filter("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold a benchmark item."""
-    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
