@@ -282,6 +282,43 @@ def test_lm(docs, texts, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_words_beyond_the_vocabulary(spark, monkeypatch):
+    """Words outside the vocabulary, most of them outside the table too, keep what they tell of the next word; all chances sum to one."""
+    for name, value in (("VOCABULARY", 8), ("TABLE", 40), ("WORDS_A_GROUP", 2)):
+        monkeypatch.setattr(lm_score, name, value, raising=False)
+    r, held = np.random.default_rng(5), [d for d in range(3_000) if zlib.crc32(str(d).encode()) % 10 == 0]
+    texts = [" ".join(f"k{i} v{i} the" for i in r.integers(0, 60, 600)) for _ in range(400)]
+    rows = list(zip((d for d in range(3_000) if d not in held), texts, strict=False))
+    right, wrong = ([(held[i + at], f"k{i} v{(i + step) % 60}") for i in range(60)] for at, step in ((0, 0), (60, 1)))
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows + right + wrong, "doc_id long, text string")).collect()}
+    gain = sum(got[d].score for d, _ in right) - sum(got[d].score for d, _ in wrong)
+    assert gain > 60 * math.log10(1.5), gain  # 2.3 where only the vocabulary's words are told apart
+    c = Counter(w for t in texts for w in t.split()) + Counter({" end": len(texts)})
+    for d, t in right + wrong:
+        assert got[d].n_known == 3 and math.isclose(got[d].base_score, sum(math.log10((c[w] + 0.1) / (c.total() + 0.1 * (len(c) + 1))) for w in (*t.split(), " end")), rel_tol=1e-9)
+
+    part = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    m = lm_score.train(part, lm_score.count_words(part))
+    lookup, groups = lm_score._Lookup(m.words), len(m.scale)
+    assert len(m.words) == 40 and groups > 1
+    unseen = {int(lm_score._encode([w])[0][0]) & (groups - 1): w for w in (b"u%d" % i for i in range(4_000))}
+    assert len(unseen) == groups
+    words = [w.encode() for w in c if w != " end"] + list(unseen.values())
+    for before in (b"", b"k1", b"the k2", b"never seen v3"):
+        at = len(before.split())
+        hashes, offsets = lm_score._encode([before + b" " + w for w in words] + [before])
+        place, _, chance = lm_score.chances(m, lookup, hashes, offsets)
+        last, n = offsets[:-1] + at, np.array([c[w.decode()] for w in words] + [len(texts)])
+        assert math.isclose((10 ** (chance[last] + np.where(place[last] < 40, 0, np.log10(n + 0.1)))).sum(), 1, rel_tol=1e-4)
+
+
+def test_lm_places():
+    words = np.random.default_rng(6).integers(-(2**63), 2**63, 100_000)
+    lookup = lm_score._Lookup(words)
+    assert len(lookup.lost) and (lookup.of(words) == np.arange(len(words))).all()
+    assert (lookup.of(np.append(words[:5] + 1, 0)) == len(words)).all() and (lm_score._Lookup(words[:0]).of(words[:9]) == 0).all()
+
+
 def test_licenses(docs, texts, empty, spark):
     more = spark.createDataFrame([(1, "x y RELEASED under the MIT License. z"), (2, "Released under the mit"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.licenses for r in licenses.scan(more).collect()} == {1: "MIT", 2: "", 3: ""}
